@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .hot_groups import ROWS_PER_TASK
 from .running import carry_forward
 
 _TIME = "asof_time"
@@ -22,7 +21,6 @@ def asof_join(
     right_time: str,
     left_id: str,
     right_id: str,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Each left row with the columns of the latest right row of the same keys
     whose time is not later; nulls where there is none.
@@ -52,6 +50,6 @@ def asof_join(
         F.struct(*taken).alias(_RIGHT),
     )
     sequence = carry_forward(
-        questions.unionByName(answers), keys, [_TIME, _SIDE, _ID], _RIGHT, rows_per_task
+        questions.unionByName(answers), keys, [_TIME, _SIDE, _ID], _RIGHT
     )
     return sequence.where(F.col(_LEFT).isNotNull()).select(f"{_LEFT}.*", f"{_RIGHT}.*")

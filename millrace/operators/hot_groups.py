@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A task sorts this many narrow rows in a few seconds, spilling little or not at all.
+# A group with more rows than this is split. A task sorts that many narrow rows
+# in a few seconds, spilling little or not at all.
+ROWS_PER_TASK_SETTING = "spark.millrace.rowsPerTask"
 ROWS_PER_TASK = 5_000_000
 
 # Only this many groups are ever treated as hot, so the list always fits a
@@ -29,7 +31,11 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+def rows_per_task(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROWS_PER_TASK_SETTING, str(ROWS_PER_TASK)))
+
+
+def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """The groups with more rows than one task should take, largest first.
 
     Returns None when there are none, so that callers can leave the split out
@@ -37,7 +43,7 @@ def hot_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TAS
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
     largest = (
-        counts.where(F.col(GROUP_ROWS) > rows_per_task)
+        counts.where(F.col(GROUP_ROWS) > rows_per_task(df.sparkSession))
         .orderBy(F.desc(GROUP_ROWS))
         .limit(MAX_HOT_GROUPS)
         .collect()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hot_groups import GROUP_ROWS, ROWS_PER_TASK, hot_groups, rows_in, rows_not_in, same_keys
+from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
 from .running import running_totals
 
 _AT = "at_micros"
@@ -28,6 +28,11 @@ def micros(seconds: float) -> int:
     return round(seconds * 1_000_000)
 
 
+def bucket_start(at: Column, width: int) -> Column:
+    """The largest multiple of `width` that is not above `at`."""
+    return at - F.pmod(at, F.lit(width).cast("bigint"))
+
+
 def _without_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropna(subset=keys)
 
@@ -43,7 +48,6 @@ def interval_totals(
     before: float,
     after: float,
     measures: dict[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add to each left row the totals of the right rows it matches.
 
@@ -67,7 +71,7 @@ def interval_totals(
         *[F.coalesce(m, F.lit(0)).cast("bigint").alias(name) for name, m in measures.items()],
     )
     both = asked.unionByName(offered)
-    hot = hot_groups(both, keys, rows_per_task)
+    hot = hot_groups(both, keys)
     ordinary = both if hot is None else rows_not_in(both, hot, keys)
 
     # Both frames start at the first row, so Spark extends them row by row; a
@@ -92,17 +96,16 @@ def interval_totals(
     if hot is None:
         return result
     return result.unionByName(
-        _totals_between_marks(
+        totals_between_marks(
             rows_in(left, hot, keys),
             rows_in(right, hot, keys),
-            keys, left_time, right_time, left_id, right_id, before, after, measures, rows_per_task,
+            keys, left_time, right_time, left_id, right_id, before, after, measures,
         )
     )
 
 
-def _totals_between_marks(
+def totals_between_marks(
     left, right, keys, left_time, right_time, left_id, right_id, before, after, measures,
-    rows_per_task,
 ) -> DataFrame:
     """`interval_totals` for hot groups.
 
@@ -141,7 +144,7 @@ def _totals_between_marks(
     )
     totals = {f"{name}_to_here": F.col(name) for name in measures}
     running = running_totals(
-        marks.unionByName(values), keys, [_AT, _SIDE, _ID], totals, rows_per_task
+        marks.unionByName(values), keys, [_AT, _SIDE, _ID], totals
     )
     sign = F.when(F.col(_SIDE) == _AFTER_MATCHES, 1).otherwise(-1)
     return (
@@ -156,8 +159,8 @@ def _totals_between_marks(
 
 
 def in_bucket(df: DataFrame, time: str, width: int) -> DataFrame:
-    """Add the time bucket, `width` microseconds long, that a row falls in."""
-    return df.withColumn(_BUCKET, F.floor(F.unix_micros(time) / F.lit(width)))
+    """Add the start of the time bucket, `width` microseconds long, of each row."""
+    return df.withColumn(_BUCKET, bucket_start(F.unix_micros(time), width))
 
 
 def in_buckets_reached(
@@ -165,9 +168,9 @@ def in_buckets_reached(
 ) -> DataFrame:
     """Repeat each row for every bucket its interval reaches into: two of them
     when the width is the interval's length."""
-    first = F.floor((F.unix_micros(time) - micros(before)) / F.lit(width))
-    last = F.floor((F.unix_micros(time) + micros(after)) / F.lit(width))
-    return df.withColumn(_BUCKET, F.explode(F.sequence(first, last)))
+    first = bucket_start(F.unix_micros(time) - micros(before), width)
+    last = bucket_start(F.unix_micros(time) + micros(after), width)
+    return df.withColumn(_BUCKET, F.explode(F.sequence(first, last, F.lit(width).cast("bigint"))))
 
 
 def times_match(left_time: str, right_time: str, before: float, after: float) -> Column:
@@ -185,7 +188,6 @@ def interval_pairs(
     right_id: str,
     before: float,
     after: float,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """All pairs of a left and a right row that match as in `interval_totals`.
 
@@ -198,7 +200,7 @@ def interval_pairs(
     groups = [*keys, _BUCKET]
     left = in_buckets_reached(_without_null_keys(left, keys), left_time, width, before, after)
     right = in_bucket(_without_null_keys(right, keys), right_time, width)
-    grid = _grid(left, right, groups, rows_per_task)
+    grid = _grid(left, right, groups)
     on = groups
     if grid is not None:
         on = [*groups, _LEFT_PART, _RIGHT_PART]
@@ -208,19 +210,18 @@ def interval_pairs(
     return pairs.where(times_match(left_time, right_time, before, after)).drop(*on[len(keys):])
 
 
-def _grid(
-    left: DataFrame, right: DataFrame, groups: list[str], rows_per_task: int
-) -> DataFrame | None:
+def _grid(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame | None:
     """How many parts each side of each large bucket is split into."""
+    size = rows_per_task(left.sparkSession)
     found = {
-        part: hot_groups(side, groups, rows_per_task)
+        part: hot_groups(side, groups)
         for part, side in ((_LEFT_PART, left), (_RIGHT_PART, right))
     }
     listed = [
         hot.select(
             *groups,
             *[
-                (F.ceil(F.col(GROUP_ROWS) / rows_per_task) if p == part else F.lit(1))
+                (F.ceil(F.col(GROUP_ROWS) / size) if p == part else F.lit(1))
                 .cast("bigint")
                 .alias(f"{p}s")
                 for p in found

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hot_groups import ROWS_PER_TASK, hot_groups, rows_in, rows_not_in
-from .intervals import interval_totals, micros
+from .hot_groups import hot_groups, rows_in, rows_not_in
+from .intervals import micros, totals_between_marks
 from .running import running_totals
 
 _PLACE = "place_in_group"
@@ -30,13 +30,12 @@ def moving_totals_by_rows(
     order: list[str],
     measures: dict[str, Column],
     rows: int,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add each measure's total over the row and the `rows - 1` rows before it.
 
     `order` must tell all rows of a group apart.
     """
-    hot = hot_groups(df, keys, rows_per_task)
+    hot = hot_groups(df, keys)
     ordered = Window.partitionBy(*keys).orderBy(*order)
     through_row = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before_frame = ordered.rowsBetween(Window.unboundedPreceding, -rows)
@@ -51,7 +50,7 @@ def moving_totals_by_rows(
     # In a hot group the two totals sit in different segments. Each row sends
     # its running total to its own place and to the place `rows` further on.
     numbered = running_totals(
-        rows_in(df, hot, keys), keys, order, {_PLACE: F.lit(1), **measures}, rows_per_task
+        rows_in(df, hot, keys), keys, order, {_PLACE: F.lit(1), **measures}
     )
     here = F.struct(
         F.col(_PLACE).alias(_PLACE),
@@ -83,14 +82,12 @@ def moving_totals_by_time(
     row_id: str,
     measures: dict[str, Column],
     seconds: float,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add each measure's total over the group's rows of the last `seconds`.
 
-    Both ends are included, and so are later rows with the row's own time. Keys
-    must not be null.
+    Both ends are included, and so are later rows with the row's own time.
     """
-    hot = hot_groups(df, keys, rows_per_task)
+    hot = hot_groups(df, keys)
     ordered = Window.partitionBy(*keys).orderBy(F.unix_micros(time))
     through_row = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before_frame = ordered.rangeBetween(Window.unboundedPreceding, -micros(seconds) - 1)
@@ -103,7 +100,7 @@ def moving_totals_by_time(
         return result
     large = rows_in(df, hot, keys)
     return result.unionByName(
-        interval_totals(
-            large, large, keys, time, time, row_id, row_id, seconds, 0, measures, rows_per_task
+        totals_between_marks(
+            large, large, keys, time, time, row_id, row_id, seconds, 0, measures
         )
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hot_groups import ROWS_PER_TASK
 from .segments import in_segment, split_ordered, with_earlier_segments
 
 
@@ -21,17 +20,13 @@ def _to_here(keys: list[str], order: list[str]):
 
 
 def running_totals(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    measures: dict[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column]
 ) -> DataFrame:
     """Add the total of each measure from the start of the group to the row.
 
     `order` must tell all rows of a group apart.
     """
-    ordinary, segmented = split_ordered(df, keys, order, rows_per_task)
+    ordinary, segmented = split_ordered(df, keys, order)
     to_here = _to_here(keys, order)
     result = ordinary.select("*", *[F.sum(m).over(to_here).alias(n) for n, m in measures.items()])
     if segmented is None:
@@ -51,17 +46,13 @@ def running_totals(
 
 
 def carry_forward(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    column: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, keys: list[str], order: list[str], column: str
 ) -> DataFrame:
     """Fill nulls of `column` with its last value earlier in the group.
 
     `order` must tell all rows of a group apart.
     """
-    ordinary, segmented = split_ordered(df, keys, order, rows_per_task)
+    ordinary, segmented = split_ordered(df, keys, order)
     last = F.last(column, ignorenulls=True)
     result = ordinary.withColumn(column, last.over(_to_here(keys, order)))
     if segmented is None:

@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import write_once
-from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, same_keys
+from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, rows_per_task
 
 SEGMENT = "segment"
 _START = "segment_start"
@@ -28,17 +28,17 @@ MAX_SEGMENTS = 100_000
 
 
 def split_ordered(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_task: int
+    df: DataFrame, keys: list[str], order: list[str]
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of hot groups cut into segments.
 
     The second is None when no group is hot.
     """
-    hot = hot_groups(df, keys, rows_per_task)
+    hot = hot_groups(df, keys)
     if hot is None:
         return df, None
     hot_rows = hot.agg(F.sum(GROUP_ROWS)).first()[0]
-    segments = min(ceil(hot_rows / rows_per_task), MAX_SEGMENTS)
+    segments = min(ceil(hot_rows / rows_per_task(df.sparkSession)), MAX_SEGMENTS)
     cut = (
         rows_in(df, hot, keys)
         .repartitionByRange(segments, *keys, *order)
@@ -74,11 +74,11 @@ def with_earlier_segments(
     before = (
         Window.partitionBy(*keys).orderBy(_START).rowsBetween(Window.unboundedPreceding, -1)
     )
+    cut_by = [*keys, SEGMENT]
     earlier = per_segment.select(
-        *keys,
-        SEGMENT,
+        *[F.col(c).alias(f"of_{c}") for c in cut_by],
         *[fold(F.col(name)).over(before).alias(name) for name, (_, fold) in summaries.items()],
     )
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in cut_by]
     # At most MAX_SEGMENTS + MAX_HOT_GROUPS rows, however large the groups are.
-    joined = rows.join(F.broadcast(earlier), same_keys(rows, earlier, [*keys, SEGMENT]))
-    return joined.select(*[rows[c] for c in rows.columns], *[earlier[name] for name in summaries])
+    return rows.join(F.broadcast(earlier), same).drop(*[f"of_{c}" for c in cut_by])

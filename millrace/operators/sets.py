@@ -21,14 +21,13 @@ def set_union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def set_intersect(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows that are on both sides. Both are made distinct before they
-    meet, so no row's copies travel."""
-    return left.distinct().intersect(right.select(left.columns).distinct())
+    """Distinct rows that are on both sides."""
+    return _counted(left, right).where((F.col(_LEFT) > 0) & (F.col(_RIGHT) > 0)).select(left.columns)
 
 
 def set_except(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows of the left that are not on the right."""
-    return left.distinct().subtract(right.select(left.columns).distinct())
+    return _counted(left, right).where((F.col(_LEFT) > 0) & (F.col(_RIGHT) == 0)).select(left.columns)
 
 
 def bag_intersect(
@@ -45,30 +44,35 @@ def bag_except(
     return _written_out(left, right, F.col(_LEFT) - F.col(_RIGHT), copies_per_piece)
 
 
-def _written_out(
-    left: DataFrame, right: DataFrame, copies: Column, copies_per_piece: int
-) -> DataFrame:
-    """Count copies on both sides in one aggregation, then write out `copies`.
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of both sides, with their copies on each.
 
-    The counts travel, not the copies, and a row with very many copies is
-    written out by several tasks.
+    One aggregation, combined on the map side, so copies do not travel. A join
+    that lets null equal null would shuffle both sides once more.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    counted = (
+    return (
         left.select("*", one.alias(_LEFT), none.alias(_RIGHT))
         .unionByName(right.select("*", none.alias(_LEFT), one.alias(_RIGHT)))
         .groupBy(*left.columns)
         .agg(F.sum(_LEFT).alias(_LEFT), F.sum(_RIGHT).alias(_RIGHT))
-        .select(*left.columns, copies.alias("copies"))
-        .where("copies > 0")
+    )
+
+
+def _written_out(
+    left: DataFrame, right: DataFrame, copies: Column, copies_per_piece: int
+) -> DataFrame:
+    """Each distinct row as often as `copies` says; a row with very many copies
+    is written out by several tasks."""
+    copied = (
+        _counted(left, right).select(*left.columns, copies.alias("copies")).where("copies > 0")
     )
     size = F.lit(copies_per_piece).cast("bigint")
-    pieces = counted.select(
-        *left.columns,
-        "copies",
-        F.explode(F.sequence(none, F.floor((F.col("copies") - 1) / size))).alias(_PIECE),
+    first, last = F.lit(0).cast("bigint"), F.col("copies") - 1
+    pieces = copied.select(
+        *left.columns, "copies", F.explode(F.sequence(first, last, size)).alias(_PIECE)
     ).repartition(*left.columns, _PIECE)
-    in_piece = F.least(size, F.col("copies") - F.col(_PIECE) * size)
+    end_of_piece = F.least(F.col(_PIECE) + size - 1, last)
     return pieces.select(
-        *left.columns, F.explode(F.sequence(one, in_piece)).alias("copy")
+        *left.columns, F.explode(F.sequence(F.col(_PIECE), end_of_piece)).alias("copy")
     ).drop("copy")

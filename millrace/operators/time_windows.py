@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .intervals import micros
+from .intervals import bucket_start, micros
 
 _PANE = "pane"
 
@@ -73,7 +73,7 @@ def session_totals(
     """
     gap = micros(gap_seconds)
     at = F.unix_micros(time)
-    panes = df.groupBy(*keys, F.floor(at / F.lit(gap)).alias(_PANE)).agg(
+    panes = df.groupBy(*keys, bucket_start(at, gap).alias(_PANE)).agg(
         F.min(at).alias("first_at"), F.max(at).alias("last_at"), *_sums(measures)
     )
     in_order = Window.partitionBy(*keys).orderBy(_PANE)
