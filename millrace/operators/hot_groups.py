@@ -10,6 +10,7 @@ map side before its shuffle.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,8 +36,15 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_SETTING, str(ROWS_PER_TASK)))
 
 
-def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The groups with more rows than one task should take, largest first.
+class HotGroups(NamedTuple):
+    """The keys of groups to be split, and how many rows they have in all."""
+
+    keys: DataFrame
+    rows: int
+
+
+def hot_groups(df: DataFrame, keys: list[str]) -> HotGroups | None:
+    """The groups with more rows than one task should take.
 
     Returns None when there are none, so that callers can leave the split out
     of the plan altogether.
@@ -50,14 +58,15 @@ def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
     )
     if not largest:
         return None
-    return df.sparkSession.createDataFrame(largest, counts.schema)
+    listed = df.sparkSession.createDataFrame(largest, counts.schema)
+    return HotGroups(listed, sum(row[GROUP_ROWS] for row in largest))
 
 
-def rows_in(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `df` whose group is listed in `groups`."""
-    return df.join(F.broadcast(groups), same_keys(df, groups, keys), "left_semi")
+def rows_in(df: DataFrame, hot: HotGroups, keys: list[str]) -> DataFrame:
+    """Rows of `df` that belong to a hot group."""
+    return df.join(F.broadcast(hot.keys), same_keys(df, hot.keys, keys), "left_semi")
 
 
-def rows_not_in(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `df` whose group is not listed in `groups`."""
-    return df.join(F.broadcast(groups), same_keys(df, groups, keys), "left_anti")
+def rows_not_in(df: DataFrame, hot: HotGroups, keys: list[str]) -> DataFrame:
+    """Rows of `df` that belong to no hot group."""
+    return df.join(F.broadcast(hot.keys), same_keys(df, hot.keys, keys), "left_anti")

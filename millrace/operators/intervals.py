@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
-from .running import running_totals
+from .running import totals_over_segments
+from .segments import in_segments
 
 _AT = "at_micros"
 _SIDE = "side"
@@ -99,63 +100,51 @@ def interval_totals(
         totals_between_marks(
             rows_in(left, hot, keys),
             rows_in(right, hot, keys),
-            keys, left_time, right_time, left_id, right_id, before, after, measures,
+            keys, left_time, right_time, left_id, right_id, before, after, measures, 2 * hot.rows,
         )
     )
 
 
 def totals_between_marks(
-    left, right, keys, left_time, right_time, left_id, right_id, before, after, measures,
+    left, right, keys, left_time, right_time, left_id, right_id, before, after, measures, rows
 ) -> DataFrame:
-    """`interval_totals` for hot groups.
+    """`interval_totals` for hot groups, in which null keys match as well.
 
-    Each left row becomes two marks among the right rows, at the two ends of its
+    Each left row sets two marks among the right rows, at the two ends of its
     interval. Its total is the running total at the second less that at the
-    first, and running totals can be taken over a group cut into segments.
+    first, and running totals can be taken over a group cut into segments. The
+    marks carry the row's id only; the row itself is joined on at the end. There
+    are about `rows` marks and right rows in all.
     """
-    row_type = left.schema
     at = F.unix_micros(left_time)
-    nothing = [F.lit(0).cast("bigint").alias(name) for name in measures]
     marks = left.select(
         *keys,
         F.col(left_id).alias(_ID),
         F.explode(
             F.array(
-                F.struct(
-                    (at - micros(before)).alias(_AT),
-                    F.lit(_BEFORE_MATCHES).alias(_SIDE),
-                    F.lit(None).cast(row_type).alias(_ROW),
-                ),
-                F.struct(
-                    (at + micros(after)).alias(_AT),
-                    F.lit(_AFTER_MATCHES).alias(_SIDE),
-                    F.struct(*left.columns).alias(_ROW),
-                ),
+                F.struct((at - micros(before)).alias(_AT), F.lit(_BEFORE_MATCHES).alias(_SIDE)),
+                F.struct((at + micros(after)).alias(_AT), F.lit(_AFTER_MATCHES).alias(_SIDE)),
             )
         ).alias("mark"),
-    ).select(*keys, _ID, "mark.*", *nothing)
+    ).select(*keys, _ID, "mark.*", *[F.lit(0).cast("bigint").alias(name) for name in measures])
     values = right.select(
         *keys,
         F.col(right_id).alias(_ID),
         F.unix_micros(right_time).alias(_AT),
         F.lit(_MATCHES).alias(_SIDE),
-        F.lit(None).cast(row_type).alias(_ROW),
         *[F.coalesce(m, F.lit(0)).cast("bigint").alias(name) for name, m in measures.items()],
     )
     totals = {f"{name}_to_here": F.col(name) for name in measures}
-    running = running_totals(
-        marks.unionByName(values), keys, [_AT, _SIDE, _ID], totals
-    )
+    order = [_AT, _SIDE, _ID]
+    segmented = in_segments(marks.unionByName(values), keys, order, rows)
+    running = totals_over_segments(segmented, keys, order, totals)
     sign = F.when(F.col(_SIDE) == _AFTER_MATCHES, 1).otherwise(-1)
-    return (
+    between = (
         running.where(F.col(_SIDE) != _MATCHES)
         .groupBy(_ID)
-        .agg(
-            F.first(_ROW, ignorenulls=True).alias(_ROW),
-            *[F.sum(sign * F.col(f"{name}_to_here")).alias(name) for name in measures],
-        )
-        .select(f"{_ROW}.*", *measures)
+        .agg(*[F.sum(sign * F.col(f"{name}_to_here")).alias(name) for name in measures])
     )
+    return left.join(between, F.col(left_id) == F.col(_ID)).drop(_ID)
 
 
 def in_bucket(df: DataFrame, time: str, width: int) -> DataFrame:
@@ -218,7 +207,7 @@ def _grid(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame | N
         for part, side in ((_LEFT_PART, left), (_RIGHT_PART, right))
     }
     listed = [
-        hot.select(
+        hot.keys.select(
             *groups,
             *[
                 (F.ceil(F.col(GROUP_ROWS) / size) if p == part else F.lit(1))

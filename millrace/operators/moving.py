@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .hot_groups import hot_groups, rows_in, rows_not_in
 from .intervals import micros, totals_between_marks
-from .running import running_totals
+from .running import totals_over_segments
+from .segments import in_segments
 
 _PLACE = "place_in_group"
 _ROW = "whole_row"
@@ -49,9 +50,8 @@ def moving_totals_by_rows(
 
     # In a hot group the two totals sit in different segments. Each row sends
     # its running total to its own place and to the place `rows` further on.
-    numbered = running_totals(
-        rows_in(df, hot, keys), keys, order, {_PLACE: F.lit(1), **measures}
-    )
+    segmented = in_segments(rows_in(df, hot, keys), keys, order, hot.rows)
+    numbered = totals_over_segments(segmented, keys, order, {_PLACE: F.lit(1), **measures})
     here = F.struct(
         F.col(_PLACE).alias(_PLACE),
         F.struct(*df.columns).alias(_ROW),
@@ -101,6 +101,6 @@ def moving_totals_by_time(
     large = rows_in(df, hot, keys)
     return result.unionByName(
         totals_between_marks(
-            large, large, keys, time, time, row_id, row_id, seconds, 0, measures
+            large, large, keys, time, time, row_id, row_id, seconds, 0, measures, 3 * hot.rows
         )
     )

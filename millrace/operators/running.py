@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .segments import in_segment, split_ordered, with_earlier_segments
+from .segments import split_ordered, with_earlier_segments, within_segment
 
 
 def _to_here(keys: list[str], order: list[str]):
@@ -31,10 +31,19 @@ def running_totals(
     result = ordinary.select("*", *[F.sum(m).over(to_here).alias(n) for n, m in measures.items()])
     if segmented is None:
         return result
+    return result.unionByName(
+        totals_over_segments(segmented, keys, order, measures).select(*df.columns, *measures)
+    )
+
+
+def totals_over_segments(
+    segmented: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column]
+) -> DataFrame:
+    """`running_totals` over rows already in segments."""
     earlier = {f"{name}_earlier": (F.sum(m), F.sum) for name, m in measures.items()}
-    here = in_segment(keys, order)
-    hot = with_earlier_segments(segmented, keys, order, earlier).select(
-        *df.columns,
+    here = within_segment(keys, order)
+    return with_earlier_segments(segmented, keys, order, earlier).select(
+        *segmented.columns,
         *[
             F.when(F.col(f"{name}_earlier").isNull(), F.sum(m).over(here))
             .otherwise(F.col(f"{name}_earlier") + F.coalesce(F.sum(m).over(here), F.lit(0)))
@@ -42,7 +51,6 @@ def running_totals(
             for name, m in measures.items()
         ],
     )
-    return result.unionByName(hot)
 
 
 def carry_forward(
@@ -62,6 +70,6 @@ def carry_forward(
         f"{column}_earlier": (last_in_segment, lambda c: F.last(c, ignorenulls=True)),
     }
     hot = with_earlier_segments(segmented, keys, order, earlier).withColumn(
-        column, F.coalesce(last.over(in_segment(keys, order)), F.col(f"{column}_earlier"))
+        column, F.coalesce(last.over(within_segment(keys, order)), F.col(f"{column}_earlier"))
     )
     return result.unionByName(hot.select(*df.columns))

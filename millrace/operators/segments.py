@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import write_once
-from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, rows_per_task
+from .hot_groups import hot_groups, rows_in, rows_not_in, rows_per_task
 
 SEGMENT = "segment"
 _START = "segment_start"
@@ -27,27 +27,29 @@ _START = "segment_start"
 MAX_SEGMENTS = 100_000
 
 
+def in_segments(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """The rows of hot groups, `rows` of them in all, each with its segment."""
+    segments = min(ceil(rows / rows_per_task(df.sparkSession)), MAX_SEGMENTS)
+    cut = df.repartitionByRange(segments, *keys, *order).withColumn(
+        SEGMENT, F.spark_partition_id()
+    )
+    return write_once(cut, "segments")
+
+
 def split_ordered(
     df: DataFrame, keys: list[str], order: list[str]
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot groups cut into segments.
+    """Rows of ordinary groups, and rows of hot groups in segments.
 
     The second is None when no group is hot.
     """
     hot = hot_groups(df, keys)
     if hot is None:
         return df, None
-    hot_rows = hot.agg(F.sum(GROUP_ROWS)).first()[0]
-    segments = min(ceil(hot_rows / rows_per_task(df.sparkSession)), MAX_SEGMENTS)
-    cut = (
-        rows_in(df, hot, keys)
-        .repartitionByRange(segments, *keys, *order)
-        .withColumn(SEGMENT, F.spark_partition_id())
-    )
-    return rows_not_in(df, hot, keys), write_once(cut, "segments")
+    return rows_not_in(df, hot, keys), in_segments(rows_in(df, hot, keys), keys, order, hot.rows)
 
 
-def in_segment(keys: list[str], order: list[str]):
+def within_segment(keys: list[str], order: list[str]):
     """The window from the start of a row's segment to the row."""
     return (
         Window.partitionBy(*keys, SEGMENT)

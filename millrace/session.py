@@ -26,6 +26,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
         .appName("millrace")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for name, value in SETTINGS.items():
