@@ -1,0 +1,153 @@
+"""Streams in several batches: late rows, restarts, and state across batches."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import oracle_sql
+from conftest import TESTDATA
+from millrace.functions.exact import scaled
+from millrace.functions.time import zone_free
+from millrace.sources.tables import stream_table
+from millrace.streaming.interval_join import interval_pairs
+from millrace.streaming.repeats import without_repeats
+from millrace.streaming.runner import drained
+from millrace.streaming.sessions import session_totals
+from millrace.streaming.windows import tumbling_totals
+
+SOURCE = TESTDATA / "sf0.001" / "events.parquet"
+FILES = 4
+
+
+def write_file(folder, number, sql):
+    """One more file of the stream, newer than those before it."""
+    path = folder / "events.parquet" / f"part-{number}.parquet"
+    path.parent.mkdir(exist_ok=True)
+    duckdb.sql(f"COPY ({sql}) TO '{path}'")
+    os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+@pytest.fixture
+def in_files(tmp_path):
+    """The events in time order, spread over files as they would arrive."""
+    for number in range(FILES):
+        write_file(
+            tmp_path, number,
+            f"SELECT * FROM '{SOURCE}' WHERE event_id // 250 = {number}",
+        )
+    return tmp_path
+
+
+def hourly(stream):
+    return tumbling_totals(
+        stream, "ts", "10 minutes", "1 hour", ["event_type"],
+        {"n_events": F.lit(1), "cents": scaled("value")},
+    )
+
+
+def zone_free_times(df, *columns):
+    return df.withColumns({c: zone_free(c) for c in columns})
+
+
+def test_windows_in_several_batches(spark, duck, rows, in_files):
+    result = drained(hourly(stream_table(spark, str(in_files), "events", 1)), "test")
+    expected = duck(oracle_sql()["stream_events_by_hour"], in_files)
+    assert rows(zone_free_times(result, "window_start", "window_end")) == expected
+
+
+def test_sessions_in_several_batches(spark, duck, rows, in_files):
+    sessions = session_totals(
+        stream_table(spark, str(in_files), "events", 1), "ts", "10 minutes", "30 minutes",
+        ["user_id"], {"n_events": F.count(F.lit(1)), "cents": F.sum(scaled("value"))},
+    )
+    result = zone_free_times(drained(sessions, "test"), "session_start", "session_end")
+    sql = f"SELECT * EXCLUDE (progress) FROM ({oracle_sql()['stream_user_progress']})"
+    assert rows(result) == duck(sql, in_files)
+
+
+def test_join_across_batches(spark, duck, rows, in_files):
+    events = stream_table(spark, str(in_files), "events", 1)
+    clicks = events.where("event_type = 'click'").select(
+        "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_at")
+    )
+    purchases = events.where("event_type = 'purchase'").select(
+        "user_id",
+        F.col("event_id").alias("purchase_id"),
+        F.col("ts").alias("purchased_at"),
+        scaled("value").alias("purchase_cents"),
+    )
+    # An hour holds few pairs here; four days hold pairs that span files.
+    days = 4
+    pairs = interval_pairs(
+        clicks, purchases, ["user_id"], "click_at", "purchased_at", "click_id",
+        before=0, after=days * 86400, left_delay="1 hour", right_delay="1 hour", salts=3,
+    )
+    result = zone_free_times(drained(pairs, "test"), "click_at", "purchased_at")
+    hourly_sql = oracle_sql()["stream_purchases_near_clicks"]
+    sql = hourly_sql.replace("INTERVAL 1 HOUR", f"INTERVAL {days} DAY")
+    assert rows(result) == duck(sql, in_files)
+
+
+def test_repeats_across_batches(spark, rows, in_files):
+    # Each file ends with the last 20 events of the file before it once more.
+    for number in range(1, FILES):
+        write_file(
+            in_files, number,
+            f"""SELECT * FROM '{SOURCE}'
+                WHERE event_id >= {250 * number - 20} AND event_id < {250 * (number + 1)}""",
+        )
+    events = stream_table(spark, str(in_files), "events", 1).select("event_id", "ts")
+    once = drained(without_repeats(events, ["event_id"], "ts", "30 days"), "test")
+    assert sorted(r.event_id for r in once.collect()) == list(range(1000))
+
+
+def test_one_key_in_a_third_of_the_stream(spark, tmp_path):
+    write_file(
+        tmp_path, 0,
+        f"""SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END AS event_id,
+                   * EXCLUDE (event_id) FROM '{SOURCE}'""",
+    )
+    events = stream_table(spark, str(tmp_path), "events").select("event_id", "ts")
+    once = drained(without_repeats(events, ["event_id"], "ts", "60 days"), "test")
+    expected = sorted({0, *(i for i in range(1000) if i % 3)})
+    assert sorted(r.event_id for r in once.collect()) == expected
+
+
+def test_rows_later_than_the_delay_are_left_out(spark, tmp_path):
+    row = (
+        "SELECT {id} AS event_id, TIMESTAMP '{at}' AS ts, 1 AS user_id,"
+        " 'view' AS event_type, 1.0 AS value, '' AS props"
+    )
+    times = [
+        "2024-01-01 00:10:00",
+        "2024-01-01 01:05:00",  # the watermark is now at 00:55
+        "2024-01-01 00:58:00",  # late, but its window is still open
+        "2024-01-01 03:00:00",  # the watermark passes 01:00 and 02:00
+        "2024-01-01 03:10:00",  # this batch closes the windows up to there
+        "2024-01-01 00:30:00",  # its window has closed
+        "2024-01-01 05:00:00",
+    ]
+    for number, at in enumerate(times):
+        write_file(tmp_path, number, row.format(id=number, at=at))
+    result = drained(hourly(stream_table(spark, str(tmp_path), "events", 1)), "test")
+    found = {
+        (r.window_start.hour, r.n_events)
+        for r in zone_free_times(result, "window_start").collect()
+    }
+    assert found == {(0, 2), (1, 1), (3, 2)}
+
+
+def test_a_second_run_goes_on_from_the_first(spark, duck, rows, in_files, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("run") / "hourly")
+    write_file(in_files, 3, f"SELECT * FROM '{SOURCE}' WHERE event_id = 750")
+
+    first = drained(hourly(stream_table(spark, str(in_files), "events", 1)), "test", path)
+    closed_first = first.count()
+    write_file(in_files, 4, f"SELECT * FROM '{SOURCE}' WHERE event_id > 750")
+    second = drained(hourly(stream_table(spark, str(in_files), "events", 1)), "test", path)
+
+    assert second.count() > closed_first
+    expected = duck(oracle_sql()["stream_events_by_hour"], in_files)
+    assert rows(zone_free_times(second, "window_start", "window_end")) == expected
