@@ -43,15 +43,17 @@ class HotGroups(NamedTuple):
     rows: int
 
 
-def hot_groups(df: DataFrame, keys: list[str]) -> HotGroups | None:
-    """The groups with more rows than one task should take.
+def hot_groups(df: DataFrame, keys: list[str], most: int | None = None) -> HotGroups | None:
+    """The groups with more than `most` rows, by default as many as one task
+    should take.
 
     Returns None when there are none, so that callers can leave the split out
     of the plan altogether.
     """
+    most = most or rows_per_task(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
     largest = (
-        counts.where(F.col(GROUP_ROWS) > rows_per_task(df.sparkSession))
+        counts.where(F.col(GROUP_ROWS) > most)
         .orderBy(F.desc(GROUP_ROWS))
         .limit(MAX_HOT_GROUPS)
         .collect()

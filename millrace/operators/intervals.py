@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hot_groups import GROUP_ROWS, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
+from .hot_groups import GROUP_ROWS, HotGroups, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
 from .running import totals_over_segments
 from .segments import in_segments
 
@@ -25,6 +25,11 @@ _RIGHT_PART = "right_part"
 _BEFORE_MATCHES, _MATCHES, _AFTER_MATCHES = 0, 1, 2
 
 
+# A bucket is split for a join when a side has more rows than this, so that one
+# task compares at most the square of it.
+PAIR_ROWS = 20_000
+
+
 def micros(seconds: float) -> int:
     return round(seconds * 1_000_000)
 
@@ -199,12 +204,23 @@ def interval_pairs(
     return pairs.where(times_match(left_time, right_time, before, after)).drop(*on[len(keys):])
 
 
+def _hot_buckets(df: DataFrame, groups: list[str], most: int) -> HotGroups | None:
+    """Buckets with more than `most` rows.
+
+    Only a key that is itself hot can have one, so buckets, which are many more
+    than keys, are counted for hot keys only.
+    """
+    keys = groups[:-1]
+    hot = hot_groups(df, keys, most)
+    return None if hot is None else hot_groups(rows_in(df, hot, keys), groups, most)
+
+
 def _grid(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame | None:
     """How many parts each side of each large bucket is split into."""
-    size = rows_per_task(left.sparkSession)
+    size = min(rows_per_task(left.sparkSession), PAIR_ROWS)
     found = {
-        part: hot_groups(side, groups)
-        for part, side in ((_LEFT_PART, left), (_RIGHT_PART, right))
+        _LEFT_PART: _hot_buckets(left, groups, size),
+        _RIGHT_PART: _hot_buckets(right, groups, size),
     }
     listed = [
         hot.keys.select(

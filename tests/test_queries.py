@@ -30,7 +30,7 @@ def test_every_query_has_sql_or_is_an_estimate():
 
 
 def test_estimates_are_close(spark):
-    # 2^14 registers: a standard error of 0.8 %.
+    # The estimate's standard error is 1 %.
     from millrace.sources.tables import read_table
     from pyspark.sql import functions as F
 

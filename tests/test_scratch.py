@@ -1,0 +1,33 @@
+"""Where intermediate tables go."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from millrace.sources.scratch import new_path, scratch_folder
+
+
+def session(folder=None, master="spark://host:7077"):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: folder or default),
+        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+    )
+
+
+def test_the_cluster_names_the_folder():
+    assert scratch_folder(session("hdfs:///shared/work/")) == "hdfs:///shared/work"
+
+
+def test_a_cluster_without_a_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(session())
+
+
+def test_local_mode_makes_one_folder_per_application():
+    local = session(master="local[2]")
+    assert scratch_folder(local) == scratch_folder(local)
+
+
+def test_paths_are_never_used_twice():
+    shared = session("hdfs:///shared")
+    assert new_path(shared, "rows") != new_path(shared, "rows")
