@@ -41,4 +41,4 @@ def total(name: str, digits: int = 2) -> Column:
     whole = F.col(f"{name}_high").cast("decimal(20,0)") * F.lit(Decimal(1 << _LOW_BITS)) + F.col(
         f"{name}_low"
     ).cast("decimal(20,0)")
-    return (whole * F.lit(Decimal(1).scaleb(-digits))).cast("double")
+    return whole.cast("double") / 10**digits

@@ -65,3 +65,20 @@ def test_split_groups_change_nothing(spark, duck, rows, skewed, name, limit):
 @pytest.mark.parametrize("name", [n for n in NAMES if n.startswith("stream_")])
 def test_skewed_stream(spark, duck, rows, skewed, name):
     assert rows(queries()[name](spark, str(skewed))) == duck(oracle_sql()[name], skewed)
+
+
+def test_a_customer_with_a_third_of_the_orders_is_split(spark, skewed):
+    """The join on customers is split at run time; its partitions are sized by
+    bytes, so the sizes are set to suit these small tables."""
+    sizes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    with using_settings(spark, sizes):
+        df = queries()["revenue_by_region_year"](spark, str(skewed))
+        df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true) [o_custkey" in plan
