@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+_DAY = 24 * 60 * 60 * 1_000_000
+
 
 def zone_free(instant: Column | str) -> Column:
     """The UTC clock time of an instant, as a timestamp without a zone."""
@@ -17,6 +19,15 @@ def zone_free(instant: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), start)
 
 
+def micros(seconds: float) -> int:
+    return round(seconds * 1_000_000)
+
+
+def bucket_start(at: Column, width: int) -> Column:
+    """The largest multiple of `width` that is not above `at`."""
+    return at - F.pmod(at, F.lit(width).cast("bigint"))
+
+
 def utc_day(instant: Column | str) -> Column:
     """The instant at which the UTC day of an instant began."""
-    return F.window(instant, "1 day").getField("start")
+    return F.timestamp_micros(bucket_start(F.unix_micros(instant), _DAY))

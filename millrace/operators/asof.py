@@ -31,7 +31,7 @@ def asof_join(
     column names must differ.
     """
     taken = [c for c in right.columns if c not in keys]
-    right = right.dropna(subset=keys)
+    right = right.dropna(subset=[*keys, right_time])
     right_type = right.select(*taken).schema
     questions = left.select(
         *keys,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.time import bucket_start, micros
 from .hot_groups import GROUP_ROWS, HotGroups, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
 from .running import totals_over_segments
 from .segments import in_segments
@@ -30,19 +31,6 @@ _BEFORE_MATCHES, _MATCHES, _AFTER_MATCHES = 0, 1, 2
 PAIR_ROWS = 20_000
 
 
-def micros(seconds: float) -> int:
-    return round(seconds * 1_000_000)
-
-
-def bucket_start(at: Column, width: int) -> Column:
-    """The largest multiple of `width` that is not above `at`."""
-    return at - F.pmod(at, F.lit(width).cast("bigint"))
-
-
-def _without_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropna(subset=keys)
-
-
 def interval_totals(
     left: DataFrame,
     right: DataFrame,
@@ -62,7 +50,7 @@ def interval_totals(
     included. Measures are whole-number expressions on `right`; a left row with
     no match gets 0.
     """
-    right = _without_null_keys(right, keys)
+    right = right.dropna(subset=[*keys, right_time])
     row_type = left.schema
     asked = left.select(
         *keys,
@@ -192,8 +180,8 @@ def interval_pairs(
     """
     width = max(micros(before + after), 1)
     groups = [*keys, _BUCKET]
-    left = in_buckets_reached(_without_null_keys(left, keys), left_time, width, before, after)
-    right = in_bucket(_without_null_keys(right, keys), right_time, width)
+    left = in_buckets_reached(left.dropna(subset=keys), left_time, width, before, after)
+    right = in_bucket(right.dropna(subset=keys), right_time, width)
     grid = _grid(left, right, groups)
     on = groups
     if grid is not None:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.time import micros
 from .hot_groups import hot_groups, rows_in, rows_not_in
-from .intervals import micros, totals_between_marks
+from .intervals import totals_between_marks
 from .running import totals_over_segments
 from .segments import in_segments
 
@@ -85,7 +86,8 @@ def moving_totals_by_time(
 ) -> DataFrame:
     """Add each measure's total over the group's rows of the last `seconds`.
 
-    Both ends are included, and so are later rows with the row's own time.
+    Both ends are included, and so are later rows with the row's own time. Rows
+    without a time are added up by themselves.
     """
     hot = hot_groups(df, keys)
     ordered = Window.partitionBy(*keys).orderBy(F.unix_micros(time))
@@ -94,7 +96,12 @@ def moving_totals_by_time(
     ordinary = df if hot is None else rows_not_in(df, hot, keys)
     result = ordinary.select(
         "*",
-        *[_difference(m, through_row, before_frame).alias(n) for n, m in measures.items()],
+        *[
+            F.when(F.col(time).isNull(), F.sum(m).over(through_row))
+            .otherwise(_difference(m, through_row, before_frame))
+            .alias(n)
+            for n, m in measures.items()
+        ],
     )
     if hot is None:
         return result

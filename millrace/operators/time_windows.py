@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .intervals import bucket_start, micros
+from ..functions.time import bucket_start, micros
 
 _PANE = "pane"
 

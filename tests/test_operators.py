@@ -21,7 +21,7 @@ from millrace.operators.time_windows import session_totals
 from millrace.session import using_settings
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
-MINUTES = st.integers(0, 90)
+MINUTES = st.one_of(st.integers(0, 90), st.integers(0, 90), st.none())
 KEYS = st.sampled_from(["a", "a", "b", None])
 SIDES = st.lists(st.tuples(KEYS, MINUTES), max_size=25)
 LIMITS = st.sampled_from(["1", "4", "1000"])
@@ -31,9 +31,12 @@ few = settings(
 
 
 def table(spark, side, prefix):
-    data = [(k, i, START + timedelta(minutes=m), i + 1) for i, (k, m) in enumerate(side)]
+    data = [
+        (k, i, None if m is None else START + timedelta(minutes=m), i + 1)
+        for i, (k, m) in enumerate(side)
+    ]
     schema = f"key string, {prefix}_id bigint, {prefix}_at timestamp, {prefix}_n bigint"
-    return spark.createDataFrame(data, schema).withColumn(f"{prefix}_n", F.col(f"{prefix}_n"))
+    return spark.createDataFrame(data, schema)
 
 
 def collected(df, *columns):
@@ -46,7 +49,8 @@ def matches(left, right, before, after):
         (i, j)
         for i, (lk, lm) in enumerate(left)
         for j, (rk, rm) in enumerate(right)
-        if lk is not None and lk == rk and lm - before <= rm <= lm + after
+        if lk is not None and lk == rk and None not in (lm, rm)
+        and lm - before <= rm <= lm + after
     ]
 
 
@@ -78,7 +82,11 @@ def test_asof_join(spark, left, right, limit):
         found = collected(joined, "l_id", "r_id")
     expected = []
     for i, (key, minute) in enumerate(left):
-        earlier = [(m, j) for j, (k, m) in enumerate(right) if key and k == key and m <= minute]
+        earlier = [
+            (m, j)
+            for j, (k, m) in enumerate(right)
+            if key and k == key and None not in (m, minute) and m <= minute
+        ]
         expected.append((i, max(earlier)[1] if earlier else None))
     assert found == sorted(expected, key=repr)
 
@@ -99,12 +107,15 @@ def test_running_and_moving_totals(spark, side, limit, rows, minutes):
             "l_id", "sum",
         )
     expected = {"running": [], "rows": [], "time": []}
-    for i, (key, minute) in enumerate(side):
-        group = sorted((m, j) for j, (k, m) in enumerate(side) if k == key)
+    # Spark sorts nulls first.
+    times = [(k, -1 if m is None else m) for k, m in side]
+    for i, (key, minute) in enumerate(times):
+        group = sorted((m, j) for j, (k, m) in enumerate(times) if k == key)
         to_here = [j + 1 for m, j in group if (m, j) <= (minute, i)]
         expected["running"].append((i, sum(to_here)))
         expected["rows"].append((i, sum(to_here[-rows:])))
-        recent = [j + 1 for m, j in group if minute - minutes <= m <= minute]
+        first = minute if minute < 0 else max(minute - minutes, 0)
+        recent = [j + 1 for m, j in group if first <= m <= minute]
         expected["time"].append((i, sum(recent)))
     assert running == sorted(expected["running"], key=repr)
     assert by_rows == sorted(expected["rows"], key=repr)
