@@ -15,14 +15,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A group with more rows than this is split. A task sorts that many narrow rows
-# in a few seconds, spilling little or not at all.
+# in about half a minute, and for smaller groups the split costs more than it saves.
 ROWS_PER_TASK_SETTING = "spark.millrace.rowsPerTask"
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 20_000_000
 
 # Only this many groups are ever treated as hot, so the list always fits a
-# broadcast. A group outside the list holds less than 1/10,000 of all rows and
-# is handled whole by the ordinary plan, so results do not depend on the bound.
-MAX_HOT_GROUPS = 10_000
+# broadcast. A group outside the list holds less than 1/100,000 of all rows (20
+# million of 2 * 10^12) and is handled whole by the ordinary plan, so results do
+# not depend on the bound.
+MAX_HOT_GROUPS = 100_000
 
 GROUP_ROWS = "group_rows"
 

@@ -42,7 +42,7 @@ def totals_over_segments(
     """`running_totals` over rows already in segments."""
     earlier = {f"{name}_earlier": (F.sum(m), F.sum) for name, m in measures.items()}
     here = within_segment(keys, order)
-    return with_earlier_segments(segmented, keys, order, earlier).select(
+    return with_earlier_segments(segmented, keys, earlier).select(
         *segmented.columns,
         *[
             F.when(F.col(f"{name}_earlier").isNull(), F.sum(m).over(here))
@@ -69,7 +69,7 @@ def carry_forward(
     earlier = {
         f"{column}_earlier": (last_in_segment, lambda c: F.last(c, ignorenulls=True)),
     }
-    hot = with_earlier_segments(segmented, keys, order, earlier).withColumn(
+    hot = with_earlier_segments(segmented, keys, earlier).withColumn(
         column, F.coalesce(last.over(within_segment(keys, order)), F.col(f"{column}_earlier"))
     )
     return result.unionByName(hot.select(*df.columns))

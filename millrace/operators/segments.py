@@ -21,14 +21,17 @@ from ..sources.scratch import write_once
 from .hot_groups import hot_groups, rows_in, rows_not_in, rows_per_task
 
 SEGMENT = "segment"
-_START = "segment_start"
 
 # Bounds the summary table, which is sorted per group and may be broadcast.
 MAX_SEGMENTS = 100_000
 
 
 def in_segments(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
-    """The rows of hot groups, `rows` of them in all, each with its segment."""
+    """The rows of hot groups, `rows` of them in all, each with its segment.
+
+    Range partitions are numbered in the order of their rows. Adaptive execution
+    leaves them as they are, since their number is given.
+    """
     segments = min(ceil(rows / rows_per_task(df.sparkSession)), MAX_SEGMENTS)
     cut = df.repartitionByRange(segments, *keys, *order).withColumn(
         SEGMENT, F.spark_partition_id()
@@ -61,7 +64,6 @@ def within_segment(keys: list[str], order: list[str]):
 def with_earlier_segments(
     rows: DataFrame,
     keys: list[str],
-    order: list[str],
     summaries: dict[str, tuple[Column, Callable[[Column], Column]]],
 ) -> DataFrame:
     """Add to each row what the earlier segments of its group come to.
@@ -70,11 +72,10 @@ def with_earlier_segments(
     the aggregates of all earlier segments. It is null in a group's first one.
     """
     per_segment = rows.groupBy(*keys, SEGMENT).agg(
-        F.min(F.struct(*order)).alias(_START),
-        *[aggregate.alias(name) for name, (aggregate, _) in summaries.items()],
+        *[aggregate.alias(name) for name, (aggregate, _) in summaries.items()]
     )
     before = (
-        Window.partitionBy(*keys).orderBy(_START).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     )
     cut_by = [*keys, SEGMENT]
     earlier = per_segment.select(

@@ -29,8 +29,13 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the scratch folder that no earlier run has used."""
-    return f"{scratch_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A path in the scratch folder that no earlier run has used.
+
+    Paths are kept by application, so that a cluster can delete what an
+    application wrote once it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{scratch_folder(spark)}/millrace/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def write_once(df: DataFrame, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import sys
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -13,25 +14,41 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(cores=8, memory="8g", partitions=8)
     yield session
     session.stop()
 
 
+@contextmanager
+def relation(sql, folder):
+    with duckdb.connect() as connection:
+        for table in TABLES:
+            path = Path(folder) / f"{table}.parquet"
+            if path.exists():
+                files = f"{path}/*.parquet" if path.is_dir() else path
+                connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
+        yield connection.sql(sql)
+
+
 @pytest.fixture(scope="session")
 def duck():
     """A function that runs SQL on the tables in a folder."""
 
     def run(sql, folder):
-        with duckdb.connect() as connection:
-            for table in TABLES:
-                path = Path(folder) / f"{table}.parquet"
-                if path.exists():
-                    files = f"{path}/*.parquet" if path.is_dir() else path
-                    connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
-            relation = connection.sql(sql)
-            return sorted(relation.columns), _rows(relation.df())
+        with relation(sql, folder) as result:
+            return sorted(result.columns), _rows(result.df())
+
+    return run
+
+
+@pytest.fixture(scope="session")
+def duck_types():
+    """A function that tells the column types of SQL on the tables in a folder."""
+
+    def run(sql, folder):
+        with relation(sql, folder) as result:
+            return {c: str(t) for c, t in zip(result.columns, result.types)}
 
     return run
 

@@ -20,6 +20,16 @@ def test_query_equals_sql(spark, duck, rows, name, scale):
     assert result
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_column_types_equal_those_of_the_sql(spark, duck_types, name):
+    names = {
+        "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+        "timestamp_ntz": "TIMESTAMP",
+    }
+    types = {c: names.get(t, t) for c, t in queries()[name](spark, str(SMALL)).dtypes}
+    assert types == duck_types(oracle_sql()[name], SMALL)
+
+
 def test_entry_gives_rows(spark):
     assert entry(spark).count() > 0
 
