@@ -27,7 +27,7 @@ MAX_SEGMENTS = 100_000
 
 
 def in_segments(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
-    """The rows of hot groups, `rows` of them in all, each with its segment.
+    """The rows of hot groups, about `rows` of them in all, each with its segment.
 
     Range partitions are numbered in the order of their rows. Adaptive execution
     leaves them as they are, since their number is given.

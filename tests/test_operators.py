@@ -181,6 +181,14 @@ def test_hot_groups_lists_large_groups_only(spark):
     assert hot_groups(df, ["key"]) is None
 
 
+def test_large_tables_are_estimated_from_a_sample(spark):
+    key = F.when(F.col("id") < 100_000, 0).otherwise(F.col("id") % 50_000)
+    df = spark.range(300_000).select(key.alias("key"))
+    hot = hot_groups(df, ["key"], most=20_000)
+    assert [r.key for r in hot.keys.collect()] == [0]
+    assert abs(hot.rows - 100_000) < 10_000
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_results_do_not_depend_on_the_session_zone(spark, duck, rows, zone):
     names = [
