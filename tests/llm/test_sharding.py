@@ -1,0 +1,62 @@
+import zlib
+
+from millrace.llm import sharding
+from millrace.llm.sharding import edited_map, first_map, placed, sharded, sized, slot_bytes
+
+
+def check(got, rows, shards):
+    want = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows), key=repr)
+    assert sorted(((r.id, r.size, r.text_crc32) for r in got), key=repr) == want
+    for shard in {r.shard for r in got}:
+        assert 0 <= shard < shards
+        places = sorted(r.place for r in got if r.shard == shard)
+        assert places == list(range(len(places)))
+
+
+def loads(got, shards):
+    return [sum(r.size for r in got if r.shard == s) for s in range(shards)]
+
+
+def test_all_rows_once_and_bytes_near_equal(frame, rng):
+    rows = [(i, "é" * rng.randrange(400)) for i in range(3000)]
+    got = sharded(frame(rows, "doc_id bigint, text string"), 16).collect()
+    check(got, rows, 16)
+    held = loads(got, 16)
+    assert max(held) - min(held) <= 0.01 * sum(held) / 16
+
+
+def test_nulls_repeated_rows_and_few_rows(frame):
+    rows = [(None, None), (None, ""), (1, None), (2, "x")] + [(7, "same")] * 50
+    check(sharded(frame(rows, "doc_id bigint, text string"), 16).collect(), rows, 16)
+    check(sharded(frame(rows, "doc_id bigint, text string"), 1).collect(), rows, 1)
+
+
+def test_empty_table_and_clashing_columns(frame):
+    assert sharded(frame([], "doc_id bigint, text string"), 4).count() == 0
+    rows = [(1, "a", 5, 6), (2, None, 7, 8)]
+    got = sharded(frame(rows, "doc_id bigint, text string, size int, vslot int"), 2).collect()
+    check(got, [r[:2] for r in rows], 2)
+
+
+def test_growing_moves_slots_only_into_the_new_shard(frame, rng):
+    rows = [(i, "t" * rng.randrange(200)) for i in range(2000)]
+    records = sized(frame(rows, "doc_id bigint, text string"), slots=512)
+    old = first_map(records, 8)
+    new = edited_map(old, slot_bytes(records), 9)
+    before = {r.vslot: r.shard for r in old.collect()}
+    after = {r.vslot: r.shard for r in new.collect()}
+    assert {r.version for r in new.collect()} == {2} and before.keys() == after.keys()
+    moved = [s for s in before if before[s] != after[s]]
+    assert all(after[s] == 8 for s in moved) and moved
+    got = placed(records, new).collect()
+    check(got, rows, 9)
+    held = loads(got, 9)
+    assert max(held) - min(held) <= 0.1 * sum(held) / 9
+
+
+def test_hot_id_is_numbered_in_pieces(frame, monkeypatch):
+    rows = [(1, "x")] * 400 + [(i, "y") for i in range(200)]
+    records = sized(frame(rows, "doc_id bigint, text string", 8))
+    pieces = {(r.vslot, r.piece) for r in records.filter("id = 1").collect()}
+    assert len(pieces) == 8 and sharding.PIECES >= 8
+    check(placed(records, first_map(records, 3)).collect(), rows, 3)
