@@ -4,10 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, sharding, simhash, substrings
+from millrace.llm import decontaminate, language, packing, quality, sharding, simhash, substrings
 from millrace.llm.common import table
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    documents = table(spark, folder, "documents")
+    held_out = language.fold(F.col("doc_id"), 4) == 2
+    models = language.trained(documents.filter(~F.coalesce(held_out, F.lit(False))))
+    found = language.identified(documents, models)
+    held_out = F.coalesce(language.fold(F.col("id"), 4) == 2, F.lit(False))
+    return found.select(
+        F.col("id").alias("doc_id"), held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.packed_sequences(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from two thirds of the labels."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.trained(documents, labels.filter(language.fold(F.col("doc_id"), 3) != 1))
+    found = quality.scored(documents, model)
+    held_out = F.coalesce(language.fold(F.col("id"), 3) == 1, F.lit(False))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """What of every document occurs in the benchmark."""
     found = decontaminate.contamination(
@@ -56,4 +87,6 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op5_decontamination, op6_simhash, op8_substrings, op10_sharding)}
+QUERIES = {q.__name__: q for q in (
+    op1_language, op3_packing, op4_quality, op5_decontamination, op6_simhash, op8_substrings, op10_sharding,
+)}
