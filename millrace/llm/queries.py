@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, language, packing, quality, sharding, simhash, substrings
+from millrace.llm import (
+    chat, decontaminate, language, neighbours, packing, quality, sharding, simhash, substrings, token_counts,
+)
 from millrace.llm.common import table
 
 
@@ -20,6 +25,36 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _digests(batches):
+    """What a formatted conversation says, read back from its text and loss mask."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            turns = "".join(f"{role}\n{said}\n" for role, said in chat.turns_of(text))
+            learned = "".join(chat.unescape(text[s["a"] : s["b"]]) for s in spans)
+            digests = [hashlib.sha256(x.encode()).hexdigest() for x in (turns, learned)]
+            out.append((len(chat.turns_of(text)), digests[0], len(learned), digests[1], len(text)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        values = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), *values],
+            ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        )
+
+
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all formatted conversations, and of one made of control strings."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    found = chat.formatted(rows.unionByName(more))
+    return found.mapInArrow(
+        _digests,
+        f"conv_id {found.schema['id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string,"
+        " loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    )
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
     return packing.packed_sequences(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
@@ -64,6 +99,11 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without passages that smaller ids have too."""
     found = substrings.without_repeats(table(spark, folder, "documents"))
@@ -72,6 +112,15 @@ def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, folder, "embeddings")
+    found = neighbours.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+    return found.select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score")
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and place of every document, bytes near equal over 16 shards."""
     found = sharding.sharded(table(spark, folder, "documents"), shards=16)
@@ -88,5 +137,6 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_language, op3_packing, op4_quality, op5_decontamination, op6_simhash, op8_substrings, op10_sharding,
-)}
+    op1_language, op2_chat, op3_packing, op4_quality, op5_decontamination,
+    op6_simhash, op7_tokens, op8_substrings, op9_neighbours, op10_sharding,
+)}
