@@ -12,7 +12,7 @@ __all__ = ["arrow_batches", "keyed", "table", "text_slices", "write_once"]
 
 # Bytes of text handled at once in a Python task: bounds its arrays, whatever
 # number of rows an Arrow batch has.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,8 +40,8 @@ def packed(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand tasks at most `rows` rows, and about 32 MB, at a time, as texts can be long.
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand tasks at most `rows` rows, and about 16 MB, at a time, as texts can be long.
 
     Only the size of what travels at once; results do not depend on it. Tasks
     look for this package where the driver has it; a cluster that keeps it
@@ -52,7 +52,7 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     if here not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(x for x in (known.get("PYTHONPATH"), here) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def text_slices(texts: list[bytes], most: int = SLICE_BYTES):

@@ -34,7 +34,7 @@ ORDER = 4
 BITS = 22
 UNKNOWN = "und"
 CALIBRATION_PARTS = 16
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 FLUSH_ROWS = 1_000_000
 MARGINS = 48
 _START, _SPACE = 1, 32

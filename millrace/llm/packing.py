@@ -36,7 +36,7 @@ CAPACITY = 2048
 WASTE = 8
 END_ID = 1
 # Entries a task keeps of words it has encoded; it then starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 # Fixed value: how a byte-level tokenizer cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for texts without the signs of `_ODD`, in which Python's own classes
@@ -170,6 +170,8 @@ def pieces(rows: DataFrame, tokenizer_path: str, capacity: int, waste: int) -> D
                 [ids, *(pa.array(values[:, i]) for i in range(len(names))), tasks],
                 ["id", *names, "task"],
             )
+        # The process lives on, for tasks of other stages too.
+        encode.known.clear()
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in [*names, "task"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import arrow_batches, keyed, text_slices, utf8
 
 SPACE_MARK = "▁"
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 # Longer words are worked out one by one, as a trie of them would be one path.
 TRIE_CHARS = 128
 _SCALE = 1 << 20
