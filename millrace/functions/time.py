@@ -11,6 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _DAY = 24 * 60 * 60 * 1_000_000
+_UNITS = {
+    "microsecond": 1,
+    "millisecond": 1000,
+    "second": 1_000_000,
+    "minute": 60 * 1_000_000,
+    "hour": 3600 * 1_000_000,
+    "day": _DAY,
+    "week": 7 * _DAY,
+}
 
 
 def zone_free(instant: Column | str) -> Column:
@@ -23,6 +32,16 @@ def micros(seconds: float) -> int:
     return round(seconds * 1_000_000)
 
 
+def duration(text: str) -> int:
+    """Microseconds of a length of time such as `1 hour 30 minutes`."""
+    parts = text.lower().removeprefix("interval").split()
+    if not parts or len(parts) % 2:
+        raise ValueError(f"not a length of time: {text}")
+    return sum(
+        round(float(n) * _UNITS[unit.removesuffix("s")]) for n, unit in zip(parts[::2], parts[1::2])
+    )
+
+
 def bucket_start(at: Column, width: int) -> Column:
     """The largest multiple of `width` that is not above `at`."""
     return at - F.pmod(at, F.lit(width).cast("bigint"))

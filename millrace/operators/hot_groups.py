@@ -18,17 +18,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import write_once
+
 # A group with more rows than this is split. A task sorts that many narrow rows
 # in about half a minute, and for smaller groups the split costs more than it saves.
 ROWS_PER_TASK_SETTING = "spark.millrace.rowsPerTask"
 ROWS_PER_TASK = 20_000_000
 
-# Only this many groups are ever treated as hot, so the list always fits a
-# broadcast. A group outside the list holds less than 1/100,000 of all rows (20
-# million of 2 * 10^12) and is handled whole by the ordinary plan, so results do
-# not depend on the bound.
-MAX_HOT_GROUPS = 100_000
-
 # A group at the limit is expected to have this many rows in the sample, which
 # makes its estimate right to about 3 %. Below such a limit all rows are counted.
 SAMPLED_ROWS = 1_000
@@ -46,7 +42,7 @@ def rows_per_task(spark: SparkSession) -> int:
 
 
 class HotGroups(NamedTuple):
-    """The groups to be split and their estimated rows, and the sum of these."""
+    """The groups to be split, as a table, and the sum of their estimated rows."""
 
     keys: DataFrame
     rows: int
@@ -56,8 +52,9 @@ def hot_groups(df: DataFrame, keys: list[str], most: int | None = None) -> HotGr
     """The groups with more than `most` rows, by default as many as one task
     should take.
 
-    Returns None when there are none, so that callers can leave the split out
-    of the plan altogether.
+    The groups stay in a table, however many there are; only the sum of their
+    rows comes to the driver. Returns None when there are none, so that callers
+    can leave the split out of the plan altogether.
     """
     most = most or rows_per_task(df.sparkSession)
     share = min(1.0, SAMPLED_ROWS / most)
@@ -67,23 +64,16 @@ def hot_groups(df: DataFrame, keys: list[str], most: int | None = None) -> HotGr
     estimates = counted.groupBy(*keys).agg(
         F.round(F.count(F.lit(1)) / share).cast("bigint").alias(GROUP_ROWS)
     )
-    largest = (
-        estimates.where(F.col(GROUP_ROWS) > most)
-        .orderBy(F.desc(GROUP_ROWS))
-        .limit(MAX_HOT_GROUPS)
-        .collect()
-    )
-    if not largest:
-        return None
-    listed = df.sparkSession.createDataFrame(largest, estimates.schema)
-    return HotGroups(listed, sum(row[GROUP_ROWS] for row in largest))
+    listed = write_once(estimates.where(F.col(GROUP_ROWS) > most), "hot-groups")
+    rows = listed.agg(F.sum(GROUP_ROWS)).first()[0]
+    return None if rows is None else HotGroups(listed, rows)
 
 
 def rows_in(df: DataFrame, hot: HotGroups, keys: list[str]) -> DataFrame:
-    """Rows of `df` that belong to a hot group."""
-    return df.join(F.broadcast(hot.keys), same_keys(df, hot.keys, keys), "left_semi")
+    """Rows of `df` that belong to a hot group. Spark broadcasts the groups if they are few."""
+    return df.join(hot.keys, same_keys(df, hot.keys, keys), "left_semi")
 
 
 def rows_not_in(df: DataFrame, hot: HotGroups, keys: list[str]) -> DataFrame:
     """Rows of `df` that belong to no hot group."""
-    return df.join(F.broadcast(hot.keys), same_keys(df, hot.keys, keys), "left_anti")
+    return df.join(hot.keys, same_keys(df, hot.keys, keys), "left_anti")

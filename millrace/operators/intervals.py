@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.time import bucket_start, micros
-from .hot_groups import GROUP_ROWS, HotGroups, hot_groups, rows_in, rows_not_in, rows_per_task, same_keys
+from ..sources.scratch import write_once
+from .hot_groups import hot_groups, rows_in, rows_not_in
 from .running import totals_over_segments
 from .segments import in_segments
 
@@ -19,18 +20,12 @@ _AT = "at_micros"
 _SIDE = "side"
 _ID = "row_id"
 _ROW = "left_row"
+_NUMBER = "row_number_given"
 _BUCKET = "time_bucket"
-_LEFT_PART = "left_part"
-_RIGHT_PART = "right_part"
 
 _BEFORE_MATCHES, _MATCHES, _AFTER_MATCHES = 0, 1, 2
 
 
-# A bucket is split for a join when a side has more rows than this, so that one
-# task compares at most the square of it.
-PAIR_ROWS = 20_000
-
-
 def interval_totals(
     left: DataFrame,
     right: DataFrame,
@@ -93,26 +88,27 @@ def interval_totals(
         totals_between_marks(
             rows_in(left, hot, keys),
             rows_in(right, hot, keys),
-            keys, left_time, right_time, left_id, right_id, before, after, measures, 2 * hot.rows,
+            keys, left_time, right_time, right_id, before, after, measures, 2 * hot.rows,
         )
     )
 
 
 def totals_between_marks(
-    left, right, keys, left_time, right_time, left_id, right_id, before, after, measures, rows
+    left, right, keys, left_time, right_time, right_id, before, after, measures, rows
 ) -> DataFrame:
     """`interval_totals` for hot groups, in which null keys match as well.
 
     Each left row sets two marks among the right rows, at the two ends of its
     interval. Its total is the running total at the second less that at the
     first, and running totals can be taken over a group cut into segments. The
-    marks carry the row's id only; the row itself is joined on at the end. There
-    are about `rows` marks and right rows in all.
+    marks carry a number that the row is given, as ids may repeat; the row itself is
+    joined on at the end. There are about `rows` marks and right rows in all.
     """
     at = F.unix_micros(left_time)
+    left = write_once(left.withColumn(_NUMBER, F.monotonically_increasing_id()), "numbered")
     marks = left.select(
         *keys,
-        F.col(left_id).alias(_ID),
+        F.col(_NUMBER).alias(_ID),
         F.explode(
             F.array(
                 F.struct((at - micros(before)).alias(_AT), F.lit(_BEFORE_MATCHES).alias(_SIDE)),
@@ -122,7 +118,8 @@ def totals_between_marks(
     ).select(*keys, _ID, "mark.*", *[F.lit(0).cast("bigint").alias(name) for name in measures])
     values = right.select(
         *keys,
-        F.col(right_id).alias(_ID),
+        # Only to cut rows of one time evenly.
+        F.xxhash64(right_id).alias(_ID),
         F.unix_micros(right_time).alias(_AT),
         F.lit(_MATCHES).alias(_SIDE),
         *[F.coalesce(m, F.lit(0)).cast("bigint").alias(name) for name, m in measures.items()],
@@ -137,7 +134,7 @@ def totals_between_marks(
         .groupBy(_ID)
         .agg(*[F.sum(sign * F.col(f"{name}_to_here")).alias(name) for name in measures])
     )
-    return left.join(between, F.col(left_id) == F.col(_ID)).drop(_ID)
+    return left.join(between, F.col(_NUMBER) == F.col(_ID)).drop(_ID, _NUMBER)
 
 
 def in_bucket(df: DataFrame, time: str, width: int) -> DataFrame:
@@ -174,73 +171,13 @@ def interval_pairs(
     """All pairs of a left and a right row that match as in `interval_totals`.
 
     The sides are joined on the keys and a time bucket as long as the interval,
-    so rows are only compared with rows near them in time. A bucket too large
-    for one task is split on both sides into a grid, in which each pair still
-    meets exactly once. Apart from the keys, column names must differ.
+    so rows are only compared with rows near them in time. A bucket that holds
+    many rows is split at run time, by adaptive execution, which meets each part
+    of one side with the whole bucket of the other. Apart from the keys, column
+    names must differ.
     """
     width = max(micros(before + after), 1)
-    groups = [*keys, _BUCKET]
     left = in_buckets_reached(left.dropna(subset=keys), left_time, width, before, after)
     right = in_bucket(right.dropna(subset=keys), right_time, width)
-    grid = _grid(left, right, groups)
-    on = groups
-    if grid is not None:
-        on = [*groups, _LEFT_PART, _RIGHT_PART]
-        left = _spread(left, grid, groups, left_id, _LEFT_PART, _RIGHT_PART)
-        right = _spread(right, grid, groups, right_id, _RIGHT_PART, _LEFT_PART)
-    pairs = left.join(right, on)
-    return pairs.where(times_match(left_time, right_time, before, after)).drop(*on[len(keys):])
-
-
-def _hot_buckets(df: DataFrame, groups: list[str], most: int) -> HotGroups | None:
-    """Buckets with more than `most` rows.
-
-    Only a key that is itself hot can have one, so buckets, which are many more
-    than keys, are counted for hot keys only.
-    """
-    keys = groups[:-1]
-    hot = hot_groups(df, keys, most)
-    return None if hot is None else hot_groups(rows_in(df, hot, keys), groups, most)
-
-
-def _grid(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame | None:
-    """How many parts each side of each large bucket is split into."""
-    size = min(rows_per_task(left.sparkSession), PAIR_ROWS)
-    found = {
-        _LEFT_PART: _hot_buckets(left, groups, size),
-        _RIGHT_PART: _hot_buckets(right, groups, size),
-    }
-    listed = [
-        hot.keys.select(
-            *groups,
-            *[
-                (F.ceil(F.col(GROUP_ROWS) / size) if p == part else F.lit(1))
-                .cast("bigint")
-                .alias(f"{p}s")
-                for p in found
-            ],
-        )
-        for part, hot in found.items()
-        if hot is not None
-    ]
-    if not listed:
-        return None
-    both = listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
-    return both.groupBy(*groups).agg(*[F.max(f"{p}s").alias(f"{p}s") for p in found])
-
-
-def _spread(
-    df: DataFrame, grid: DataFrame, groups: list[str], row_id: str, own: str, other: str
-) -> DataFrame:
-    """Put each row in one part of its own side and in all parts of the other."""
-    # The grid lists at most 2 * MAX_HOT_GROUPS buckets.
-    sized = df.join(F.broadcast(grid), same_keys(df, grid, groups), "left").select(
-        *[df[c] for c in df.columns],
-        F.coalesce(F.col(f"{own}s"), F.lit(1)).alias(f"{own}s"),
-        F.coalesce(F.col(f"{other}s"), F.lit(1)).alias(f"{other}s"),
-    )
-    return sized.select(
-        *df.columns,
-        F.pmod(F.xxhash64(row_id), F.col(f"{own}s")).alias(own),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1)).alias(other),
-    )
+    pairs = left.join(right, [*keys, _BUCKET])
+    return pairs.where(times_match(left_time, right_time, before, after)).drop(_BUCKET)

@@ -22,9 +22,6 @@ from .hot_groups import hot_groups, rows_in, rows_not_in, rows_per_task
 
 SEGMENT = "segment"
 
-# Bounds the summary table, which is sorted per group and may be broadcast.
-MAX_SEGMENTS = 100_000
-
 
 def in_segments(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
     """The rows of hot groups, about `rows` of them in all, each with its segment.
@@ -32,7 +29,7 @@ def in_segments(df: DataFrame, keys: list[str], order: list[str], rows: int) ->
     Range partitions are numbered in the order of their rows. Adaptive execution
     leaves them as they are, since their number is given.
     """
-    segments = min(ceil(rows / rows_per_task(df.sparkSession)), MAX_SEGMENTS)
+    segments = ceil(rows / rows_per_task(df.sparkSession))
     cut = df.repartitionByRange(segments, *keys, *order).withColumn(
         SEGMENT, F.spark_partition_id()
     )
@@ -83,5 +80,5 @@ def with_earlier_segments(
         *[fold(F.col(name)).over(before).alias(name) for name, (_, fold) in summaries.items()],
     )
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in cut_by]
-    # At most MAX_SEGMENTS + MAX_HOT_GROUPS rows, however large the groups are.
-    return rows.join(F.broadcast(earlier), same).drop(*[f"of_{c}" for c in cut_by])
+    # One row per group and segment, but maybe a wide one: Spark chooses the join.
+    return rows.join(earlier, same).drop(*[f"of_{c}" for c in cut_by])

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.time import bucket_start, micros
+from ..functions.time import bucket_start, duration, micros
 
 _PANE = "pane"
 
@@ -49,6 +49,8 @@ def sliding_totals(
     `slide` must divide `width`: then every window is made of whole panes, and
     it is panes rather than rows that are repeated for each window.
     """
+    if duration(width) % duration(slide):
+        raise ValueError(f"a slide of {slide} does not divide a width of {width}")
     panes = tumbling_totals(df, time, slide, keys, measures)
     return (
         panes.groupBy(F.window("window_start", width, slide).alias(_PANE), *keys)

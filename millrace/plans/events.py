@@ -13,7 +13,7 @@ from ..operators.running import running_totals
 from ..operators.time_windows import session_totals, sliding_totals, tumbling_totals
 from ..sources.tables import read_table
 
-# The event types of the events table.
+# The event types that have a column of their own.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 HALF_HOUR = 30 * 60
@@ -49,11 +49,21 @@ def users_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users_approximately(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct users by event type, estimated to 1 % from sketches of 2^14 registers."""
+    """Distinct users by event type, and whether an estimate from sketches of 2^14
+    registers, which stands for them where exact counts cost too much, is within 3 %."""
+    exact = F.col("n_users")
     return (
         _events(spark, sf_dir)
         .groupBy("event_type")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("n_users"))
+        .agg(
+            F.count_distinct("user_id").alias("n_users"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("estimate"),
+        )
+        .select(
+            "event_type",
+            "n_users",
+            (F.abs(F.coalesce("estimate", F.lit(0)) - exact) <= 0.03 * exact).alias("estimate_is_near"),
+        )
     )
 
 
@@ -83,11 +93,13 @@ def moving_value_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_by_day_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per day, one column per type."""
+    """Events per day: a column for each listed type, and one for all other types and none."""
+    listed = F.when(F.col("event_type").isin(EVENT_TYPES), F.col("event_type")).otherwise("other")
     result = (
         _events(spark, sf_dir)
+        .withColumn("event_type", listed)
         .groupBy(_day())
-        .pivot("event_type", EVENT_TYPES)
+        .pivot("event_type", [*EVENT_TYPES, "other"])
         .agg(F.count(F.lit(1)))
         .na.fill(0)
     )

@@ -8,25 +8,30 @@ from ..functions.exact import scaled
 from ..sources.tables import stream_table
 from ..streaming.interval_join import interval_pairs
 from ..streaming.repeats import without_repeats
-from ..streaming.runner import drained
+from ..streaming.runner import closable, drained
 from ..streaming.sessions import session_totals
 from ..streaming.windows import tumbling_totals
 from .events import HOUR, with_zone_free
 
 DELAY = "10 minutes"
+# Bounds a micro-batch, so that watermarks move and state is let go as a stream is
+# read. Files must arrive in the order of their times, to within the delay.
+FILES_PER_BATCH = 8
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_table(spark, sf_dir, "events")
+    return stream_table(spark, sf_dir, "events", FILES_PER_BATCH)
 
 
 def stream_events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and value by hour and type, for the hours the watermark has closed."""
+    """Events and value by hour and type."""
+    events, closing = closable(_stream(spark, sf_dir), "ts")
     totals = tumbling_totals(
-        _stream(spark, sf_dir), "ts", DELAY, "1 hour", ["event_type"],
+        events, "ts", DELAY, "1 hour", ["event_type"],
         {"n_events": F.lit(1), "cents": scaled("value")},
     )
-    return with_zone_free(drained(totals, "events-by-hour"), "window_start", "window_end")
+    hours = drained(totals, "events-by-hour", closing=closing)
+    return with_zone_free(hours, "window_start", "window_end")
 
 
 def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +67,12 @@ def stream_purchases_near_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_user_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each user got before half an hour of silence: `converted` when a
-    purchase followed a click, `clicked`, or `idle`. Closed sessions only."""
+    purchase followed a click, `clicked`, or `idle`."""
+    events, closing = closable(_stream(spark, sf_dir), "ts")
     clicked_at = F.min(F.when(F.col("event_type") == "click", F.col("ts")))
     bought_at = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
     sessions = session_totals(
-        _stream(spark, sf_dir), "ts", DELAY, "30 minutes", ["user_id"],
+        events, "ts", DELAY, "30 minutes", ["user_id"],
         {
             "n_events": F.count(F.lit(1)),
             "cents": F.sum(scaled("value")),
@@ -82,4 +88,5 @@ def stream_user_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = sessions.select(
         "user_id", "session_start", "session_end", "n_events", "cents", progress.alias("progress")
     )
-    return with_zone_free(drained(reached, "user-progress"), "session_start", "session_end")
+    sessions = drained(reached, "user-progress", closing=closing)
+    return with_zone_free(sessions, "session_start", "session_end")

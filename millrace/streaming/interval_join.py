@@ -18,13 +18,14 @@ def interval_pairs(
     after: float,
     left_delay: str,
     right_delay: str,
-    salts: int = 8,
+    salts: int = 1,
 ) -> DataFrame:
     """Pairs whose right time is from `before` seconds before the left time to
     `after` seconds after it.
 
-    Times are instants. Left rows of a key are dealt out over `salts` tasks, and
-    right rows are sent to all of them, so the busier stream belongs on the left.
+    Times are instants. With `salts` above 1, left rows of a key are dealt out over
+    that many tasks and right rows are sent to all of them, so the busier stream
+    belongs on the left; state then holds each right row `salts` times.
     A live stream's rows are all close in time, which is why the key is split by
     salt and not by time. The time bounds let Spark drop state that the
     watermarks have passed. Apart from the keys, column names must differ.

@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _first_in_each_batch(keys: list[str]) -> Callable:
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = pa.array(range(batch.num_rows), pa.int64())
-            table = pa.table([batch[k] for k in keys] + [places], [*keys, "place"])
-            first = table.group_by(keys).aggregate([("place", "min")])["place_min"]
-            yield batch.take(first.combine_chunks())
-
-    return keep
-
-
 def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """The first delivery of each key; repeats within `delay` of it are dropped.
+    """The first delivery of each key that is in time; repeats within `delay` of it are dropped.
 
-    `time` is an instant. Repeats inside one Arrow batch are dropped before the
-    shuffle, so a key that makes up a third of the stream sends a row per
-    batch of ten thousand to the task that holds its state.
+    `time` is an instant. The rows of one key meet in the task that holds its state.
     """
-    thinned = stream.mapInArrow(_first_in_each_batch(keys), stream.schema)
-    return thinned.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import using_settings
 from ..sources.scratch import new_path
@@ -18,16 +20,58 @@ STATE_SETTINGS = {
 }
 
 
-def drained(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+class Closing(NamedTuple):
+    """A folder that a stream reads besides its source, empty until the source has ended."""
+
+    folder: str
+    row: DataFrame
+
+
+# Later than any row, and far enough from the last instant that windows can be added.
+LAST_INSTANT = "9000-01-01 00:00:00Z"
+
+
+def closable(stream: DataFrame, time: str) -> tuple[DataFrame, Closing]:
+    """The stream, and what `drained` needs to close it.
+
+    Closing sends one more row, which is null but for a time later than all
+    others: the watermark passes everything that is open, and the row's own window
+    is never given out.
+    """
+    spark = stream.sparkSession
+    folder = new_path(spark, "closing")
+    first = spark.range(1).select(
+        *[
+            (F.lit(LAST_INSTANT) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in stream.schema.fields
+        ]
+    )
+    first.limit(0).write.parquet(folder)
+    last = spark.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(last), Closing(folder, first)
+
+
+def drained(
+    stream: DataFrame, label: str, path: str | None = None, closing: Closing | None = None
+) -> DataFrame:
     """Process everything the sources hold, in append mode, and return the output.
 
     The file sink commits each batch once, and its files are the result; nothing
     passes through the driver. A run given the `path` of an earlier one goes on
-    from where that one stopped.
+    from where that one stopped. With `closing` the source is taken to have
+    ended, and what is still open is given out as well.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, label)
-    with using_settings(spark, STATE_SETTINGS):
+    _run(stream, path)
+    if closing is not None:
+        closing.row.write.mode("append").parquet(closing.folder)
+        _run(stream, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _run(stream: DataFrame, path: str) -> None:
+    with using_settings(stream.sparkSession, STATE_SETTINGS):
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -37,4 +81,3 @@ def drained(stream: DataFrame, label: str, path: str | None = None) -> DataFrame
             .start()
         )
         query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

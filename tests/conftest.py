@@ -7,12 +7,25 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from millrace.plans.expected import EXPECTED  # noqa: E402
+from millrace.plans.registry import QUERIES  # noqa: E402
 from millrace.session import local_session  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
+
+
+def queries():
+    """The queries on the star and event tables; those of `llm` have their own tests."""
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(EXPECTED)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=8, memory="8g", partitions=8)

@@ -3,10 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
-from conftest import TESTDATA
+from conftest import TESTDATA, queries
+from millrace.operators.hot_groups import ROWS_PER_TASK_SETTING
+from millrace.operators.ranking import top_per_group
 from millrace.session import using_settings
+from millrace.sources.tables import read_table
 
 FOLDER = str(TESTDATA / "sf0.01")
 BATCH = sorted(name for name in queries() if not name.startswith("stream_"))
@@ -53,7 +56,7 @@ def test_scans_read_only_columns_that_are_used(spark, name):
         ("buyers_first_year_only", 1),
         ("dropped_buying", 2),
         ("users_per_day", 2),
-        ("users_approximately", 1),
+        ("users_approximately", 3),
         ("running_value", 1),
         ("moving_value_by_rows", 1),
         ("moving_value_by_time", 1),
@@ -89,3 +92,32 @@ def test_lines_are_added_up_before_they_travel(spark, name):
     text = plan(spark, name)
     scan = text.index("lineitem.parquet")
     assert text.rindex("partial_", 0, scan) > text.rindex("Exchange", 0, scan)
+
+
+def test_more_top_rows_than_spark_pushes_are_cut_in_parts(spark):
+    df = spark.range(10_000).select((F.col("id") % 1).alias("key"), "id")
+    cut = top_per_group(df, ["key"], [F.col("id")], 1001)
+    assert [r.id for r in cut.orderBy("rank").collect()] == list(range(1001))
+    text = cut._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key#" in text and "part_of_group" in text
+
+
+def test_split_plans_pair_nothing_and_use_no_python(spark):
+    names = ["running_value", "moving_value_by_rows", "moving_value_by_time", "purchases_near_clicks"]
+    with using_settings(spark, {ROWS_PER_TASK_SETTING: "20"}):
+        for name in [*names, "purchases_around_clicks", "last_click_before_purchase"]:
+            text = plan(spark, name)
+            for operator in ("CartesianProduct", "NestedLoop", "SinglePartition", "Python", "BroadcastExchange"):
+                assert operator not in text, (name, operator)
+
+
+def test_sixth_event_type_is_counted(spark, tmp_path):
+    folder = str(tmp_path)
+    events = read_table(spark, FOLDER, "events")
+    changed = events.withColumn(
+        "event_type", F.when(F.col("event_id") % 10 == 0, "refund").when(F.col("event_id") % 10 == 1, None)
+        .otherwise(F.col("event_type"))
+    )
+    changed.write.parquet(f"{folder}/events.parquet")
+    row = queries()["events_by_day_pivoted"](spark, folder).agg(F.sum("other")).first()
+    assert row[0] == changed.where("event_type = 'refund' or event_type is null").count() > 0

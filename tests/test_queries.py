@@ -1,10 +1,15 @@
 """Every registered query against its SQL, on whole tables."""
 
-import pytest
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
-from __spark_entry__ import entry, oracle_sql, queries
+import pytest
 
-from conftest import TESTDATA
+import __spark_entry__
+from __spark_entry__ import entry
+from conftest import TESTDATA, oracle_sql, queries
 
 SMALL, LARGER = TESTDATA / "sf0.001", TESTDATA / "sf0.01"
 
@@ -24,7 +29,7 @@ def test_query_equals_sql(spark, duck, rows, name, scale):
 def test_column_types_equal_those_of_the_sql(spark, duck_types, name):
     names = {
         "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
-        "timestamp_ntz": "TIMESTAMP",
+        "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
     }
     types = {c: names.get(t, t) for c, t in queries()[name](spark, str(SMALL)).dtypes}
     assert types == duck_types(oracle_sql()[name], SMALL)
@@ -34,21 +39,17 @@ def test_entry_gives_rows(spark):
     assert entry(spark).count() > 0
 
 
-def test_every_query_has_sql_or_is_an_estimate():
-    assert set(queries()) - set(oracle_sql()) == {"users_approximately"}
-    assert set(oracle_sql()) <= set(queries())
-
+def test_every_query_has_sql_and_is_registered():
+    assert set(queries()) == set(oracle_sql())
+    assert queries().items() <= __spark_entry__.queries().items()
+    assert oracle_sql().items() <= __spark_entry__.oracle_sql().items()
 
-def test_estimates_are_close(spark):
-    # The estimate's standard error is 1 %.
-    from millrace.sources.tables import read_table
-    from pyspark.sql import functions as F
 
-    exact = dict(
-        read_table(spark, str(LARGER), "events")
-        .groupBy("event_type").agg(F.count_distinct("user_id")).collect()
-    )
-    estimated = dict(queries()["users_approximately"](spark, str(LARGER)).collect())
-    assert exact.keys() == estimated.keys()
-    for event_type, users in exact.items():
-        assert abs(estimated[event_type] - users) <= max(1, 0.03 * users)
+def test_entry_points_work_without_the_optional_subpackage(tmp_path):
+    """A copy without `llm` and the pipeline: everything else is registered."""
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert said.stdout.split() == [*sorted(queries()), str(len(oracle_sql()))], said.stderr

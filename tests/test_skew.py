@@ -7,8 +7,7 @@ the result must still equal the SQL on the same tables.
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
-from conftest import TESTDATA
+from conftest import TESTDATA, oracle_sql, queries
 from millrace.operators.hot_groups import ROWS_PER_TASK_SETTING
 from millrace.session import using_settings
 
