@@ -71,4 +71,4 @@ def utf8(column) -> list[bytes]:
     """An Arrow text column as UTF-8 bytes; null as empty."""
     import pyarrow as pa
 
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
