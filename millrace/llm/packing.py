@@ -20,7 +20,7 @@ import re
 import sys
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,7 @@ WASTE = 8
 END_ID = 1
 # Entries a task keeps of words it has encoded; it then starts anew.
 KNOWN_WORDS = 600_000
+KEPT_WORDS = 150_000
 # Fixed value: how a byte-level tokenizer cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for texts without the signs of `_ODD`, in which Python's own classes
@@ -106,7 +107,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encoded(texts)
-        lists = [self.full(t) if _ODD.search(t) else self.plain(t) for t in texts]
+        lists = [self.full(t) if _is_odd(t) else self.plain(t) for t in texts]
         self._learn(list(set(chain.from_iterable(lists)).difference(self.known)))
         ids = [b"".join(map(self.known.__getitem__, x)) for x in lists]
         if len(self.known) > KNOWN_WORDS:
@@ -114,6 +115,12 @@ class Encoder:
         return ids
 
 
+def _is_odd(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _ODD.search(text) is not None
+
+
 def _packed_ids(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -170,8 +177,9 @@ def pieces(rows: DataFrame, tokenizer_path: str, capacity: int, waste: int) -> D
                 [ids, *(pa.array(values[:, i]) for i in range(len(names))), tasks],
                 ["id", *names, "task"],
             )
-        # The process lives on, for tasks of other stages too.
-        encode.known.clear()
+        # The process lives on, for tasks of other stages too: it keeps the words it
+        # met first, which are the commonest.
+        encode.known = dict(islice(encode.known.items(), KEPT_WORDS))
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in [*names, "task"])
