@@ -9,7 +9,7 @@ from ..operators.grouping import LEVEL, cube_totals, grouping_set_totals, rollup
 from ..operators.matching import having_match, lacking_match, with_match_totals
 from ..operators.ranking import top_per_group
 from ..operators.sets import bag_except, bag_intersect, set_except, set_intersect, set_union
-from ..sources.tables import read_table
+from ..sources.tables import in_years, read_table
 
 _NET_DIGITS = 4
 
@@ -26,12 +26,8 @@ def _year(column: str) -> Column:
 def returned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines of more than 25 units shipped in 1997 to 1999, with net price."""
     lines = read_table(spark, sf_dir, "lineitem")
-    return lines.where(
-        (F.col("l_returnflag") == "R")
-        & (F.col("l_quantity") > 25)
-        & (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
-        & (F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    ).select(
+    lines = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25))
+    return in_years(lines, "l_shipdate", 1997, 2000).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         (_net() / 10**_NET_DIGITS).alias("net_price"),
     )
@@ -159,12 +155,8 @@ def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _buyers(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     """One row per order of the year: the buyer and the order's priority."""
-    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-    return (
-        read_table(spark, sf_dir, "orders")
-        .where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
-        .select("o_custkey", "o_orderpriority")
-    )
+    orders = in_years(read_table(spark, sf_dir, "orders"), "o_orderdate", year, year + 1)
+    return orders.select("o_custkey", "o_orderpriority")
 
 
 def buyers_either_year(spark: SparkSession, sf_dir: str) -> DataFrame:

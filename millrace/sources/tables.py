@@ -7,7 +7,7 @@ still prunes columns and takes pushed filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The event time is stored without a zone and read as a UTC instant: Parquet
 # holds it as microseconds, which are taken as they are.
@@ -43,6 +43,26 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def in_years(df: DataFrame, time: str, first: int, end: int) -> DataFrame:
+    """Rows whose zone-free `time` is in the years from `first` to before `end`.
+
+    Parquet skips nothing by such times. A table laid out in folders named
+    `<time>_year=<year>`, as `write_by_year` lays it out, is pruned to the years asked
+    for; any other is read and filtered.
+    """
+    start, stop = (F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (first, end))
+    rows = df.where((F.col(time) >= start) & (F.col(time) < stop))
+    folder = f"{time}_year"
+    if folder not in df.columns:
+        return rows
+    return rows.where((F.col(folder) >= first) & (F.col(folder) < end))
+
+
+def write_by_year(df: DataFrame, time: str, path: str) -> None:
+    """Write a table in one folder for each year of `time`; rows without a time get their own."""
+    df.withColumn(f"{time}_year", F.year(time)).write.partitionBy(f"{time}_year").parquet(path)
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:

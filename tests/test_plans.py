@@ -9,7 +9,7 @@ from conftest import TESTDATA, queries
 from millrace.operators.hot_groups import ROWS_PER_TASK_SETTING
 from millrace.operators.ranking import top_per_group
 from millrace.session import using_settings
-from millrace.sources.tables import read_table
+from millrace.sources.tables import in_years, read_table, write_by_year
 
 FOLDER = str(TESTDATA / "sf0.01")
 BATCH = sorted(name for name in queries() if not name.startswith("stream_"))
@@ -121,3 +121,17 @@ def test_sixth_event_type_is_counted(spark, tmp_path):
     changed.write.parquet(f"{folder}/events.parquet")
     row = queries()["events_by_day_pivoted"](spark, folder).agg(F.sum("other")).first()
     assert row[0] == changed.where("event_type = 'refund' or event_type is null").count() > 0
+
+
+def test_years_not_asked_for_are_not_read(spark, tmp_path, rows):
+    """Tables in folders by year give the same rows, from the folders of these years alone."""
+    for table, time in (("lineitem", "l_shipdate"), ("orders", "o_orderdate")):
+        write_by_year(read_table(spark, FOLDER, table), time, f"{tmp_path}/{table}.parquet")
+    for name, years in (("returned_lines", {1997, 1998, 1999}), ("buyers_either_year", {1996, 1997})):
+        found = queries()[name](spark, str(tmp_path))
+        assert rows(found) == rows(queries()[name](spark, FOLDER))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(" in plan and "_year#" in plan
+    lines = in_years(read_table(spark, str(tmp_path), "lineitem"), "l_shipdate", 1997, 2000)
+    files = {r[0].split("l_shipdate_year=")[1][:4] for r in lines.select(F.input_file_name()).collect()}
+    assert files == {"1997", "1998", "1999"}
