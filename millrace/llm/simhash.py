@@ -32,22 +32,36 @@ DISTANCE = 3
 WORDS = 3
 SEED = 42
 MOST = 4096
+# Hashes whose bits are unpacked at once: bounds memory, whatever a text's length.
+HASHES_AT_ONCE = 1 << 16
 # Beyond so many distinct fingerprints the finer grid comes first; for cost only.
 COARSE_ROWS = 1 << 24
 
 
-def _hashes(text: bytes, words: int) -> list[int]:
+def _hashes(text: bytes, words: int) -> np.ndarray:
     """The hashes of a text's shingles, repeats included."""
     parts = text.lower().split()
     if not parts:
-        return []
+        return np.empty(0, np.uint64)
     if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(parts), SEED)]
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    spans = zip(starts, (ends[words - 1 :] - 1).tolist())
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(starts))
+
+
+def _set_bits(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """For each owner and bit, how many of its hashes have the bit set; owners are in order."""
+    counts = np.zeros((owners, 64), np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        some, own = hashes[at : at + HASHES_AT_ONCE], owner[at : at + HASHES_AT_ONCE]
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        counts[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return counts
 
 
 def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
@@ -56,15 +70,10 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     for a, b in text_slices(texts):
         hashes = [_hashes(t, words) for t in texts[a:b]]
         sizes = np.fromiter(map(len, hashes), np.int64, b - a)
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
-        flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum()))
-        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        over = np.packbits(counts * 2 > sizes[full, None], axis=1)
-        out[a + full] = over.view(">u8").ravel().astype(np.uint64).view(np.int64)
+        owner = np.repeat(np.arange(b - a), sizes)
+        counts = _set_bits(np.concatenate(hashes), owner, b - a)
+        over = np.packbits(counts * 2 > sizes[:, None], axis=1)
+        out[a:b] = over.view(">u8").ravel().astype(np.uint64).view(np.int64)
     return out
 
 

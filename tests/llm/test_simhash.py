@@ -111,3 +111,11 @@ def test_bound_of_the_embedding(spark, rng):
     for value, row in zip(values, df.select("fp", simhash._embedding(F.col("fp")).alias("e")).collect()):
         counts = [(row.e >> 2 * i) & 3 for i in range(32)]
         assert counts == [bin(row.fp >> 2 * i & 3).count("1") for i in range(32)]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 64])
+def test_long_texts_are_counted_in_parts(monkeypatch, rng, at_once):
+    texts = [" ".join(rng.choice(["A", "b", "cc", "é"]) for _ in range(n)) for n in (0, 1, 200, 0, 2, 3, 4, 500)]
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", at_once)
+    found = simhash.fingerprints([t.encode() for t in texts])
+    assert found.tolist() == [fingerprint(t) for t in texts]
