@@ -32,7 +32,7 @@ DISTANCE = 3
 WORDS = 3
 SEED = 42
 MOST = 4096
-# Hashes whose bits are unpacked at once: bounds memory, whatever a text's length.
+# Hashes whose bits are unpacked at once; words and hashes of a text are held whole.
 HASHES_AT_ONCE = 1 << 16
 # Beyond so many distinct fingerprints the finer grid comes first; for cost only.
 COARSE_ROWS = 1 << 24
