@@ -7,6 +7,8 @@ each direction, so the chance that a neighbour at that distance lies in a given
 bucket is a product of normal probabilities. A query visits buckets in the order
 of that chance until their sum reaches its share of the wanted recall, in each
 table. Candidates of all tables are merged and ranked by their exact distance.
+A query that found fewer than asked, or whose last is farther than r, is compared
+with every vector instead, so that the recall holds for outliers as well.
 
 The distance r at which neighbours are expected, and from it the width of a cell,
 is taken from a sample of at most about `SAMPLE` vectors. Every vector is indexed.
@@ -135,7 +137,7 @@ def fitted(rows: DataFrame, nearest: int, recall: float, tables: int, directions
 
 
 def _bucketed(rows: DataFrame, index, tables: int) -> DataFrame:
-    """bucket, id, vector, ids: a row for each vector and table."""
+    """table, bucket, id, vector, ids: a row for each vector and table."""
 
     def run(batches):
         for batch in batches:
@@ -143,11 +145,12 @@ def _bucketed(rows: DataFrame, index, tables: int) -> DataFrame:
             for t in range(tables if len(x) else 0):
                 bucket = pa.array(index.value.buckets(x, t).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [bucket, *(batch.column(c) for c in ("id", "vector", "ids"))],
-                    ["bucket", "id", "vector", "ids"],
+                    [pa.array(np.full(len(x), t, np.int32)), bucket, *(batch.column(c) for c in ("id", "vector", "ids"))],
+                    ["table", "bucket", "id", "vector", "ids"],
                 )
 
-    return rows.mapInArrow(run, "bucket bigint, id bigint, vector array<double>, ids array<bigint>")
+    schema = "table int, bucket bigint, id bigint, vector array<double>, ids array<bigint>"
+    return rows.mapInArrow(run, schema)
 
 
 def _probed(queries: DataFrame, index, tables: int) -> DataFrame:
@@ -249,6 +252,29 @@ def _searched(rows: DataFrame, keep: int) -> DataFrame:
     return dealt.mapInArrow(run, "query bigint, id bigint, distance double")
 
 
+def _compared(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """query, id, distance: the nearest of all vectors, in blocks of both sides."""
+    pieces = max(1, -(-vectors.count() // SLOT_ROWS))
+    blocks = max(1, -(-queries.count() // SLOT_ROWS))
+    nought = F.lit(0).cast("bigint")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(nought, F.lit(n - 1).cast("bigint")))
+    have = vectors.select("*", part(pieces).alias("piece"), each(blocks).alias("block"))
+    ask = queries.select("*", part(blocks).alias("block"), each(pieces).alias("piece"))
+    slot = (F.col("piece") * blocks + F.col("block")).alias("slot")
+    # One bucket for all.
+    have = have.select(slot, F.lit(1).alias("kind"), nought.alias("bucket"), "id", "vector", "ids")
+    ask = ask.select(slot, F.lit(0).alias("kind"), nought.alias("bucket"), "id", "vector", F.array(nought).alias("ids"))
+    return _searched(have.unionByName(ask), keep)
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
+    """query, rank, id, distance: the nearest but the query itself."""
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    ranked = found.filter("query != id").distinct().withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= nearest).select("query", "rank", "id", "distance")
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     queries: DataFrame,
@@ -263,8 +289,8 @@ def nearest_neighbours(
 
     Distances are Euclidean, exact, in double precision; ties go to the smaller
     id. What takes part: see `clean`. A vector repeated with its id counts once.
-    A query with fewer candidates than asked gets those; an empty table gives no
-    rows.
+    A query with fewer candidates than asked gets those, all of them; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     arrow_batches(spark, 4000)
@@ -299,7 +325,13 @@ def nearest_neighbours(
     ask = ask.select(
         "slot", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bucket"), "id", "vector", "ids"
     )
-    found = _searched(have.unionByName(ask), nearest + 1).filter("query != id").distinct()
-    order = Window.partitionBy("query").orderBy("distance", "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
-    return ranked.select("query", "rank", "id", "distance")
+    found = _ranked(_searched(have.unionByName(ask), nearest + 1), nearest)
+    found = write_once(found, "nearest")
+    # Up to the distance that the probes are made for, each neighbour is found with the wanted recall.
+    sure = found.filter((F.col("rank") == nearest) & (F.col("distance") <= index.distance)).select("query")
+    unsure = write_once(asking.join(sure, asking["id"] == sure["query"], "left_anti"), "queries")
+    if unsure.isEmpty():
+        return found
+    every = stored.filter(F.col("table") == 0).select("id", "vector", "ids")
+    exact = _ranked(_compared(every, unsure, nearest + 1), nearest)
+    return found.join(sure, "query", "left_semi").unionByName(exact)

@@ -65,3 +65,18 @@ def test_clashing_columns(frame):
     df = frame([(i, [float(i), 1.0], i, "x") for i in range(20)], SCHEMA + ", id int, bucket string")
     got = nearest_neighbours(df, df.filter("vec_id = 0"), recall=0.9999).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_tiny_tables_are_whole(frame, n):
+    rows = vectors(n)
+    assert [g[:3] for g in run(frame, rows)] == [w[:3] for w in sorted(brute(rows, range(0, n, 10)))]
+
+
+@pytest.mark.parametrize(("n", "outliers"), [(30, 2), (400, 12)])
+def test_outliers_get_their_nearest(frame, monkeypatch, n, outliers):
+    monkeypatch.setattr(neighbours, "SLOT_ROWS", 60)
+    far = np.random.default_rng(5).normal(size=(outliers, 16))
+    rows = vectors(n) + [(1000 + 10 * i, (v * 10 ** (1 + i % 4)).tolist()) for i, v in enumerate(far)]
+    got = [g for g in run(frame, rows) if g[0] >= 1000]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(brute(rows, range(1000, 1000 + 10 * outliers, 10)))]
