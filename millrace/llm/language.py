@@ -4,17 +4,18 @@ Texts become lower-case letters with a space for whatever stands between, and
 four start marks. Each language has an interpolated Kneser-Ney model of character
 sequences up to four: Spark counts four-letter sequences of all training texts,
 and the counts of shorter ones, the number of different letters seen before them,
-follow by aggregation. The models are stored as sorted arrays of hashed sequences
-with a column for each language. A text gets the language whose model gives it
-the lowest cross-entropy per character.
+follow by aggregation. A text gets the language whose model gives it the lowest
+cross-entropy per character.
 
 How sure that is comes from the margin to the second language, in units that do
 not depend on length, by a monotone table measured on training texts that were
 kept out of the counts; below a given score a text is rejected.
 
-Sequences are hashed to `2 ** BITS` places per order, which bounds the models,
-and what is collected to build them, by the number of languages alone: at most
-about 50 MB each.
+Sequences are kept exactly: four characters fill 64 bits, which are mixed without
+loss. Models of at most `BROADCAST_CELLS` sequences times languages are sorted
+arrays with a column for each language, which are broadcast. Larger ones stay in
+Spark tables: discounts, totals and probabilities are aggregations and joins, and
+texts are joined with the costs of their sequences.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.llm.common import arrow_batches, column, keyed, write_once
 
 ORDER = 4
-BITS = 22
+# All of them: no two sequences share a place.
+BITS = 64
+# Sequences of all orders and languages, times languages, that are collected and broadcast.
+BROADCAST_CELLS = 3 << 19
 UNKNOWN = "und"
 CALIBRATION_PARTS = 16
 SLICE_CHARS = 1_000_000
@@ -276,8 +280,130 @@ def _built(rows: pd.DataFrame, langs: list[str], bits: int) -> Models:
     return Models(langs, bits, probabilities, weights)
 
 
-def _calibrated(models: Models, rows: DataFrame) -> Models:
+def _tail(order: int) -> Column:
+    """The last characters of a sequence of this order, all but the first."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("bigint"))
+
+
+def _head(order: int) -> Column:
+    """All characters of a sequence of this order but the last."""
+    return F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("bigint")
+
+
+@dataclass
+class Tables:
+    """Models too large to broadcast, as Spark tables.
+
+    `probabilities` has lang, rank, gram, p; `weights` lang, rank, context, left, as
+    in `Models`. No key of a join has more rows than there are letters, times languages.
+    """
+
+    langs: DataFrame
+    probabilities: DataFrame
+    weights: DataFrame
+    right: np.ndarray | None = None
+
+    def costs(self, grams: DataFrame) -> DataFrame:
+        """gram, lang, cost for every language and row of `grams` (distinct, of the highest order)."""
+        tails = [None] * ORDER + [grams]
+        for order in range(ORDER, 1, -1):
+            tails[order - 1] = tails[order].select(_tail(order).alias("gram")).distinct()
+        now = tails[1].crossJoin(self.langs).withColumn("below", F.lit(math.log(0x10000)))
+        for order in range(1, ORDER + 1):
+            if order > 1:
+                under = now.select(F.col("gram").alias("tail"), "lang", F.col("cost").alias("below"))
+                now = tails[order].withColumn("tail", _tail(order)).join(under, "tail")
+            own = self.probabilities.filter(F.col("rank") == order).select("lang", "gram", "p")
+            left = self.weights.filter(F.col("rank") == order).select("lang", "context", "left")
+            now = now.withColumn("context", _head(order)).join(left, ["lang", "context"], "left")
+            now = now.join(own, ["lang", "gram"], "left")
+            cost = F.coalesce(-F.col("p"), F.col("below") - F.coalesce("left", F.lit(0.0)))
+            now = now.select("gram", "lang", cost.alias("cost"))
+        return now
+
+    def chosen(self, rows: DataFrame) -> DataFrame:
+        """id, best, margin, letter for every row (id, text); see `Models.chosen`."""
+        kind = rows.schema["id"].dataType.simpleString()
+
+        def run(batches):
+            for batch in batches:
+                for a, some in _slices(batch.column("text").to_pylist()):
+                    grams, text, letter = _grams(some)
+                    sizes = np.bincount(text, minlength=len(some))
+                    own = [np.unique(x, return_counts=True) for x in np.split(grams, np.cumsum(sizes)[:-1])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("uid").slice(a, len(some)),
+                            batch.column("id").slice(a, len(some)),
+                            pa.array(sizes.astype(np.int64)),
+                            pa.array(letter),
+                            pa.array([g.view(np.int64) for g, _ in own], pa.list_(pa.int64())),
+                            pa.array([n for _, n in own], pa.list_(pa.int64())),
+                        ],
+                        ["uid", "id", "size", "letter", "grams", "counts"],
+                    )
+
+        schema = f"uid bigint, id {kind}, size bigint, letter boolean, grams array<bigint>, counts array<bigint>"
+        rows = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text")
+        rows = write_once(rows.mapInArrow(run, schema), "language-texts")
+        each = rows.select("uid", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
+        each = each.select("uid", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+        costs = write_once(self.costs(each.select("gram").distinct()), "language-costs")
+        sums = each.join(costs, "gram").groupBy("uid", "lang").agg(F.sum(F.col("n") * F.col("cost")).alias("cost"))
+        order = Window.partitionBy("uid").orderBy("cost", "lang")
+        sums = sums.withColumn("nth", F.row_number().over(order)).filter("nth <= 2").groupBy("uid")
+        sums = sums.agg(F.min_by("lang", "nth").alias("best"), F.min("cost").alias("least"), F.max("cost").alias("next"), F.max("nth").alias("n"))
+        size = F.greatest("size", F.lit(1))
+        gap = F.when(F.col("n") > 1, (F.col("next") - F.col("least")) / size).otherwise(1.0) * F.sqrt("size")
+        return rows.join(sums, "uid", "left").select(
+            "id", "best", F.coalesce(gap, F.lit(0.0)).alias("margin"), "letter"
+        )
+
+
+def _tabled(orders: DataFrame) -> Tables:
+    """Models as tables, from counts of all orders (lang, rank, gram, n)."""
+    once, twice = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
+    share = F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)
+    share = F.least(F.greatest(share, F.lit(0.1)), F.lit(0.9))
+    discounts = orders.groupBy("lang", "rank").agg(share.alias("d"))
+    head = F.when(F.col("rank") == 1, F.lit(0).cast("bigint")).otherwise(F.shiftrightunsigned("gram", 16))
+    rows = orders.withColumn("context", head)
+    totals = rows.groupBy("lang", "rank", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    totals = totals.join(discounts, ["lang", "rank"])
+    totals = totals.withColumn("rest", F.col("d") * F.col("kinds") / F.col("total"))
+    totals = write_once(totals, "language-weights")
+    below, parts = None, []
+    for order in range(1, ORDER + 1):
+        own = rows.filter(F.col("rank") == order).drop("rank")
+        own = own.join(totals.filter(F.col("rank") == order), ["lang", "context"])
+        if below is None:
+            own = own.withColumn("shorter", F.lit(1 / 0x10000))
+        else:
+            shorter = below.select("lang", F.col("gram").alias("tail"), F.exp("p").alias("shorter"))
+            own = own.withColumn("tail", _tail(order)).join(shorter, ["lang", "tail"])
+        p = F.log((F.col("n") - F.col("d")) / F.col("total") + F.col("rest") * F.col("shorter"))
+        below = write_once(own.select("lang", "rank", "gram", p.alias("p")), "language-probabilities")
+        parts.append(below)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    weights = totals.select("lang", "rank", "context", F.log("rest").alias("left"))
+    return Tables(write_once(orders.select("lang").distinct(), "languages"), found, weights)
+
+
+def _binned() -> Column:
+    """As `_bin`, of the column `margin`."""
+    scaled = 8 * F.log2(F.greatest("margin", F.lit(1e-9)) * 4)
+    return F.least(F.greatest(scaled, F.lit(0.0)), F.lit(float(MARGINS - 1))).cast("bigint")
+
+
+def _calibrated(models: Models | Tables, rows: DataFrame) -> Models | Tables:
     """Share of right answers by margin, over rows (text, lang) kept out of the counts."""
+    if isinstance(models, Tables):
+        found = models.chosen(rows.select(F.col("lang").alias("id"), "text")).filter("letter")
+        found = found.select(_binned().alias("bin"), (F.col("id") == F.col("best")).cast("int").alias("right"))
+        found = found.groupBy("bin").agg(F.sum("right").alias("hits"), F.count(F.lit(1)).alias("n"))
+        return _with_shares(models, found)
     sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -295,11 +421,16 @@ def _calibrated(models: Models, rows: DataFrame) -> Models:
 
     found = rows.mapInArrow(run, "bin bigint, hits bigint, n bigint")
     found = found.groupBy("bin").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    models.margins = np.arange(MARGINS)
+    return _with_shares(models, found)
+
+
+def _with_shares(models: Models | Tables, found: DataFrame) -> Models | Tables:
+    """`models` with the share of right answers for each margin, from counts (bin, hits, n)."""
     hits, n = np.zeros(MARGINS), np.zeros(MARGINS)
     for row in found.collect():
         hits[row["bin"]], n[row["bin"]] = row["hits"], row["n"]
     models.right = _monotone(hits + 1, n + 2)
-    models.margins = np.arange(MARGINS)
     return models
 
 
@@ -320,7 +451,7 @@ def _monotone(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(k, h / m) for h, m, k in pools])
 
 
-def trained(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS) -> Models | None:
+def trained(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS) -> Models | Tables | None:
     """Models from all rows with text and language; None if there are none."""
     arrow_batches(documents.sparkSession)
     rows = documents.select(
@@ -329,16 +460,20 @@ def trained(documents: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ).filter("text is not null and lang is not null")
     kept_out = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION_PARTS)) == 0
     counts = _counted(rows.filter(~kept_out))
-    found = _hashed(_orders(counts), bits).toPandas()
-    if found.empty:
+    orders = write_once(_orders(counts), "language-orders")
+    size = orders.count()
+    if not size:
         return None
+    if size * orders.select("lang").distinct().count() > BROADCAST_CELLS:
+        return _calibrated(_tabled(orders), rows.filter(kept_out))
+    found = _hashed(orders, bits).toPandas()
     models = _built(found, sorted(found["lang"].unique()), bits)
     return _calibrated(models, rows.filter(kept_out))
 
 
 def identified(
     documents: DataFrame,
-    models: Models | None,
+    models: Models | Tables | None,
     id_col: str = "doc_id",
     text_col: str = "text",
     reject_below: float = 0.0,
@@ -353,6 +488,13 @@ def identified(
     rows = keyed(documents, id_col, text_col)
     if models is None:
         return rows.select("id", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    if isinstance(models, Tables):
+        found = models.chosen(rows).withColumn("bin", _binned().cast("int"))
+        shares = F.array(*[F.lit(float(x)) for x in models.right])
+        score = F.when(F.col("letter"), F.element_at(shares, F.col("bin") + 1)).otherwise(0.0)
+        found = found.withColumn("score", score)
+        known = F.col("letter") & (F.col("score") >= reject_below)
+        return found.select("id", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang"), "score")
     sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):

@@ -112,3 +112,40 @@ def test_probabilities_sum_to_one(models):
 
 def test_monotone():
     assert list(_monotone(np.array([1, 9, 5]), np.array([10, 10, 10]))) == [0.1, 0.7, 0.7]
+
+
+def test_no_two_sequences_share_a_place():
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 300_000).astype(np.uint64))
+    assert len(np.unique(language._place(grams, 4, language.BITS))) == len(grams)
+
+
+def test_tables_are_kneser_ney(spark):
+    sample = ["ab ab abc", "Abba, cab! 42 bac", "a", "caab"]
+    rows = spark.createDataFrame([(t, "x") for t in sample], "text string, lang string")
+    tables = language._tabled(language._orders(language._counted(rows)))
+    probability = brute_probabilities(sample)
+    grams = np.unique(_grams([*sample, "cc abd éa"])[0]).view(np.int64)
+    asked = spark.createDataFrame([(int(g),) for g in grams], "gram bigint")
+    got = {r.gram: r.cost for r in tables.costs(asked).collect()}
+    assert sorted(got) == sorted(grams.tolist())
+    for gram, cost in got.items():
+        symbols = tuple(gram >> 16 * b & 0xFFFF for b in (3, 2, 1, 0))
+        assert math.isclose(-math.log(probability(symbols)), cost, rel_tol=1e-9)
+
+
+def test_models_beyond_the_broadcast_bound_give_the_same(frame, rng, models, monkeypatch):
+    import random
+
+    own = random.Random(3)
+    rows = [(t, lang) for lang in SYLLABLES for t in texts(own, lang, 150)]
+    monkeypatch.setattr(language, "BROADCAST_CELLS", 0)
+    tables = trained(frame(rows, "text string, lang string"))
+    assert isinstance(tables, language.Tables)
+    asked = [(i, t) for i, t in enumerate(t for lang in SYLLABLES for t in texts(rng, lang, 30))]
+    asked += [(900, None), (901, ""), (902, "12 !? 3"), (None, "the thing and the other"), (903, "語 学"), (903, "語 学")]
+    df = frame(asked, "doc_id bigint, text string")
+    want = sorted((tuple(r) for r in identified(df, models).collect()), key=repr)
+    got = sorted((tuple(r) for r in identified(df, tables).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.mean([abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want)]) > 0.95
+    assert trained(frame([], "text string, lang string")) is None
