@@ -15,6 +15,7 @@ is taken from a sample of at most about `SAMPLE` vectors. Every vector is indexe
 
 Buckets are dealt over slots, large ones in several pieces, so that a task gets a
 bounded number of vectors at a time and keeps only the nearest few of each query.
+The queries of a slot are dealt over blocks, which each meet the slot's vectors.
 Equal vectors are indexed once, with their smallest ids.
 """
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.common import arrow_batches, column, write_once
@@ -34,6 +36,8 @@ TABLES, DIRECTIONS, WIDTH = 2, 8, 2.5
 RECALL = 0.975
 SAMPLE = 2000
 SLOT_ROWS = 20_000
+# Queries of a block, and the buckets they visit: about so many at most.
+QUERY_ROWS, VISITS = 4096, 1 << 21
 SEED = 11
 # Buckets of one query and table that are looked at; what the normal law leaves
 # beyond them is far below what the wanted recall leaves out.
@@ -174,10 +178,10 @@ class _Nearest:
     def __init__(self, ids, x, buckets, keep: int):
         self.ids, self.x, self.keep = ids, x, keep
         self.best: list[list] = [[] for _ in ids]
-        pairs = [(b, i) for i, own in enumerate(buckets) for b in own]
-        pairs = np.array(pairs, np.int64).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.bucket, self.query = pairs[:, 0], pairs[:, 1]
+        query = np.repeat(np.arange(len(ids)), np.concatenate([n for _, n in buckets]))
+        bucket = np.concatenate([b for b, _ in buckets])
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.query = bucket[order], query[order]
 
     def add(self, bucket, ids, x, members):
         order = np.argsort(bucket, kind="stable")
@@ -232,12 +236,13 @@ def _searched(rows: DataFrame, keep: int) -> DataFrame:
                 split = int(np.searchsorted(part.column("kind").to_numpy(), 1))
                 if split:
                     ask = part.slice(0, split)
-                    queries.append((ask.column("id").to_pylist(), _matrix(ask.column("vector")), ask.column("ids").to_pylist()))
+                    own = ask.column("ids")
+                    own = own.flatten().to_numpy(), pc.list_value_length(own).to_numpy()
+                    queries.append((ask.column("id").to_pylist(), _matrix(ask.column("vector")), own))
                 if split < b - a and queries:
                     if state is None:
                         ids = [i for q in queries for i in q[0]]
-                        buckets = [own for q in queries for own in q[2]]
-                        state = _Nearest(ids, np.concatenate([q[1] for q in queries]), buckets, keep)
+                        state = _Nearest(ids, np.concatenate([q[1] for q in queries]), [q[2] for q in queries], keep)
                     have = part.slice(split)
                     state.add(
                         have.column("bucket").to_numpy(),
@@ -255,7 +260,7 @@ def _searched(rows: DataFrame, keep: int) -> DataFrame:
 def _compared(vectors: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     """query, id, distance: the nearest of all vectors, in blocks of both sides."""
     pieces = max(1, -(-vectors.count() // SLOT_ROWS))
-    blocks = max(1, -(-queries.count() // SLOT_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     nought = F.lit(0).cast("bigint")
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     each = lambda n: F.explode(F.sequence(nought, F.lit(n - 1).cast("bigint")))
@@ -321,7 +326,18 @@ def nearest_neighbours(
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece")
     ask = visits.join(large, "bucket", "left").select("id", "bucket", every)
     ask = ask.select("id", "bucket", slot(F.col("piece"))).groupBy("slot", "id")
-    ask = ask.agg(F.collect_set("bucket").alias("ids")).join(asking, "id")
+    ask = write_once(ask.agg(F.collect_set("bucket").alias("ids")), "visits")
+    blocks = F.greatest(
+        F.ceil(F.count(F.lit(1)) / QUERY_ROWS), F.ceil(F.sum(F.size("ids")) / VISITS)
+    )
+    blocks = write_once(ask.groupBy("slot").agg(blocks.alias("blocks")), "blocks")
+    most = blocks.agg(F.max("blocks")).first()[0] or 1
+    block = lambda place: (F.col("slot") * most + place).alias("slot")
+    ask = ask.join(blocks, "slot").join(asking, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    ask = ask.select(block(F.col("block")), "id", "vector", "ids")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    have = have.join(blocks, "slot").select("*", each)
+    have = have.select(block(F.col("block")), "kind", "bucket", "id", "vector", "ids")
     ask = ask.select(
         "slot", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bucket"), "id", "vector", "ids"
     )

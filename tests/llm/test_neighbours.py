@@ -80,3 +80,18 @@ def test_outliers_get_their_nearest(frame, monkeypatch, n, outliers):
     rows = vectors(n) + [(1000 + 10 * i, (v * 10 ** (1 + i % 4)).tolist()) for i, v in enumerate(far)]
     got = [g for g in run(frame, rows) if g[0] >= 1000]
     assert [g[:3] for g in got] == [w[:3] for w in sorted(brute(rows, range(1000, 1000 + 10 * outliers, 10)))]
+
+
+def test_queries_of_a_slot_are_dealt_over_blocks(frame, monkeypatch):
+    rows, most = vectors(800), []
+    want = run(frame, rows)
+    searched = neighbours._searched
+
+    def seen(df, keep):
+        most.append(df.filter("kind = 0").groupBy("slot").count().agg({"count": "max"}).first()[0])
+        return searched(df, keep)
+
+    monkeypatch.setattr(neighbours, "_searched", seen)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 7, raising=False)
+    assert run(frame, rows) == want
+    assert most and max(most) <= 30
