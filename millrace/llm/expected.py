@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries of this subpackage that SQL can state.
 
-The others have no SQL: language, quality (models), packing and token counts
-(tokenizers), SimHash (its hash function), neighbours (approximate) and sharding
-(a greedy deal) are tested against brute force, round trips or held-out accuracy.
+The others have no SQL: language, quality (models), packing, token counts and
+byte-pair encoding (tokenizers), SimHash (its hash function), neighbours
+(approximate), whitening (eigenvectors) and sharding (a greedy deal) are tested against brute force, round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -87,8 +87,46 @@ SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coales
 FROM docs LEFT JOIN counts USING (row_id) LEFT JOIN kept USING (row_id)
 """
 
+_COLLOCATIONS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM docs, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS t(piece)
+), grams AS (
+  SELECT lang, k, words[i : i + k - 1] AS ws
+  FROM pieces, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(words) - k + 2)) AS t(i)
+), counts AS (
+  SELECT lang, k, ws, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.k, c.ws, c.f AS a, x.f AS l, y.f AS r, cut,
+    ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM counts c, unnest([1, 2]) AS t(cut), counts x, counts y
+  WHERE c.k > 1 AND c.f >= 10 AND cut < c.k
+    AND x.lang = c.lang AND x.ws = c.ws[1 : cut] AND y.lang = c.lang AND y.ws = c.ws[cut + 1 : c.k]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1
+), covered AS (
+  SELECT p.lang, p.ws FROM lowest p JOIN counts t
+    ON t.lang = p.lang AND t.k = 3 AND t.f >= 10 AND p.k = 2 AND p.ws = t.ws[1 : 2] AND 100 * t.f >= 50 * p.a
+  UNION SELECT p.lang, p.ws FROM lowest p JOIN counts t
+    ON t.lang = p.lang AND t.k = 3 AND t.f >= 10 AND p.k = 2 AND p.ws = t.ws[2 : 3] AND 100 * t.f >= 50 * p.a
+), ranked AS (
+  SELECT *, array_to_string(ws, ' ') AS phrase FROM lowest WHERE (lang, ws) NOT IN (SELECT (lang, ws) FROM covered)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank,
+  phrase, a, l, r, n, score
+FROM ranked JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
 EXPECTED: dict[str, str] = {
     "op2_chat": _CHAT,
     "op5_decontamination": _DECONTAMINATION,
     "op8_substrings": _SUBSTRINGS,
+    "op13_collocations": _COLLOCATIONS,
 }

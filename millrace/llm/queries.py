@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import (
-    chat, decontaminate, language, neighbours, packing, quality, sharding, simhash, substrings, token_counts,
+    bpe, chat, collocations, decontaminate, language, neighbours, packing, quality, sharding, simhash, substrings,
+    token_counts, whitening,
 )
 from millrace.llm.common import table
 
@@ -136,7 +137,40 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    ids = bpe.encoded(table(spark, folder, "documents"))
+    found = bpe.decoded(ids)
+    return found.select(
+        F.col("row.id").alias("doc_id"),
+        F.size("row.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("row.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on the first four components of their covariance."""
+    found = whitening.whitened(table(spark, folder, "embeddings"), components=4)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return found.select("*", each).select(
+        F.col("id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_language, op2_chat, op3_packing, op4_quality, op5_decontamination,
     op6_simhash, op7_tokens, op8_substrings, op9_neighbours, op10_sharding,
+    op11_bpe, op12_whitening, op13_collocations,
 )}
