@@ -95,32 +95,43 @@ WITH docs AS (
 ), pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
   FROM docs, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS t(piece)
-), grams AS (
-  SELECT lang, k, words[i : i + k - 1] AS ws
-  FROM pieces, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(words) - k + 2)) AS t(i)
-), counts AS (
-  SELECT lang, k, ws, count(*) AS f FROM grams GROUP BY ALL
+), starts AS (
+  SELECT lang, words[i] AS w1, words[i + 1] AS w2, words[i + 2] AS w3
+  FROM pieces, unnest(range(1, len(words) + 1)) AS t(i)
+), ones AS (
+  SELECT lang, w1, count(*) AS f FROM starts GROUP BY ALL
+), twos AS (
+  SELECT lang, w1, w2, count(*) AS f FROM starts WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), threes AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM starts WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), totals AS (
-  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+  SELECT lang, sum(f)::BIGINT AS n FROM ones GROUP BY lang
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS most FROM (
+    SELECT lang, w1, w2, f FROM threes UNION ALL SELECT lang, w2, w3, f FROM threes
+  ) GROUP BY lang, w1, w2
 ), cuts AS (
-  SELECT c.lang, c.k, c.ws, c.f AS a, x.f AS l, y.f AS r, cut,
-    ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM counts c, unnest([1, 2]) AS t(cut), counts x, counts y
-  WHERE c.k > 1 AND c.f >= 10 AND cut < c.k
-    AND x.lang = c.lang AND x.ws = c.ws[1 : cut] AND y.lang = c.lang AND y.ws = c.ws[cut + 1 : c.k]
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, 1 AS cut, p.f AS a, x.f AS l, y.f AS r
+  FROM twos p LEFT JOIN longer t ON t.lang = p.lang AND t.w1 = p.w1 AND t.w2 = p.w2
+    JOIN ones x ON x.lang = p.lang AND x.w1 = p.w1
+    JOIN ones y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE coalesce(100 * t.most < 50 * p.f, true)
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, 1, p.f, x.f, y.f FROM threes p
+    JOIN ones x ON x.lang = p.lang AND x.w1 = p.w1
+    JOIN twos y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, 2, p.f, x.f, y.f FROM threes p
+    JOIN twos x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2
+    JOIN ones y ON y.lang = p.lang AND y.w1 = p.w3
+), scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
 ), lowest AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1
-), covered AS (
-  SELECT p.lang, p.ws FROM lowest p JOIN counts t
-    ON t.lang = p.lang AND t.k = 3 AND t.f >= 10 AND p.k = 2 AND p.ws = t.ws[1 : 2] AND 100 * t.f >= 50 * p.a
-  UNION SELECT p.lang, p.ws FROM lowest p JOIN counts t
-    ON t.lang = p.lang AND t.k = 3 AND t.f >= 10 AND p.k = 2 AND p.ws = t.ws[2 : 3] AND 100 * t.f >= 50 * p.a
-), ranked AS (
-  SELECT *, array_to_string(ws, ' ') AS phrase FROM lowest WHERE (lang, ws) NOT IN (SELECT (lang, ws) FROM covered)
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 )
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank,
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
   phrase, a, l, r, n, score
-FROM ranked JOIN totals USING (lang)
+FROM lowest JOIN totals USING (lang)
 QUALIFY rank <= 2000
 """
 
