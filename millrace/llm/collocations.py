@@ -1,8 +1,9 @@
 """Phrases that belong together, from count streams in prefix and in suffix order.
 
-Tasks number the words of a block of text, sort the block's word sequences of one,
-two and three, and send each with its count; Spark adds the counts up. The
-sequences kept form one stream. It is laid out twice, sorted and cut in ranges:
+Tasks number the words of a block of text, sort the block's word sequences of one
+and two, and send each with its count; Spark adds the counts up. A second scan does
+the same for three words, for those whose pairs are frequent. The sequences that
+occur often enough form one stream. It is laid out twice, sorted and cut in ranges:
 
 - in prefix order (first word first), each sequence comes after its own beginnings,
   so one pass that remembers the last single word and the last pair merges the
@@ -24,6 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,6 +38,8 @@ UNKNOWN = "und"
 # Words a task holds before it sorts them, and bytes of text it takes apart at a time.
 HELD_WORDS = 3_000_000
 CHUNK = 1 << 20
+# Bits of the map of frequent pairs, at most: 64 MB.
+MAP_BITS = 1 << 29
 _GAP = b"\xff"  # in no UTF-8 text
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
@@ -85,22 +89,32 @@ class _Block:
         self.parts.append(np.zeros(1, np.int32))
         return size
 
-    def counted(self, lang: str, longest: int):
-        """Record batches (lang, w1, w2, w3, n): the sequences of the block, sorted, by number."""
+    def counted(self, lang: str, orders: tuple[int, ...], pairs: np.ndarray | None = None):
+        """Record batches (lang, phrase, n): the sequences of the block, sorted, by number.
+
+        With `pairs`, a bit map, only triples of pairs that are in it.
+        """
         ids = np.concatenate(self.parts).astype(np.int64)
         words = pa.array(list(self.numbers), pa.binary())
         bits = max(len(self.numbers).bit_length(), 1)
         key, whole = ids, ids > 0
-        yield _sequences(lang, [], words, np.array([whole.sum()]))
+        if 1 in orders:
+            yield _sequences(lang, [], words, np.array([whole.sum()]))
         before = None  # the shorter sequences, where numbers stand for them
-        for order in range(1, longest + 1):
+        for order in range(1, max(orders) + 1):
             if order > 1:
                 if order * bits > 63:
                     before, key = np.unique(key, return_inverse=True)
                 key = key[:-1] << bits | ids[order - 1 :]
                 whole = whole[:-1] & (ids[order - 1 :] > 0)
+            if order == LONGEST and pairs is not None:
+                names = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
+                known = _marked(pairs, _pair_names(names[ids[:-1]], names[ids[1:]], lang))
+                whole = whole & known[:-1] & known[1:]
             if not whole.any():
                 return
+            if order not in orders:
+                continue
             keys, n = np.unique(key[whole], return_counts=True)
             low = (1 << bits) - 1
             parts = [keys & low]
@@ -114,24 +128,31 @@ class _Block:
 
 
 def _sequences(lang: str, parts: list, words: pa.Array, n) -> pa.RecordBatch:
-    columns = [words.take(pa.array(p)).cast(pa.string()) for p in parts]
-    columns += [pa.nulls(len(n), pa.string())] * (LONGEST - len(parts))
+    phrase = pa.nulls(len(n), pa.binary())
+    if parts:
+        phrase = pc.binary_join_element_wise(*[words.take(pa.array(p)) for p in parts], b" ")
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(n), pa.string()), *columns, pa.array(n.astype(np.int64))],
-        ["lang", *_WORDS, "n"],
+        [pa.array([lang] * len(n), pa.string()), phrase.cast(pa.string()), pa.array(n.astype(np.int64))],
+        ["lang", "phrase", "n"],
     )
 
 
-def sequence_counts(
-    documents: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST
-) -> DataFrame:
-    """lang, w1, w2, w3, n: how often sequences of one to three words occur within pieces.
+def _pair_names(first: np.ndarray, second: np.ndarray, lang: str) -> np.ndarray:
+    """A 64-bit name for each pair of named words."""
+    own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()) | 1)
+    x = (first * np.uint64(0x9E3779B97F4A7C15) + second) * own
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    Words a sequence does not have are null; the row without words counts all
-    words of the language.
-    """
-    spark = documents.sparkSession
-    arrow_batches(spark)
+
+def _marked(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the bit of each name is set; the bit map has a power of two bits."""
+    bit = names >> np.uint64(65 - (8 * len(bitmap)).bit_length())
+    return bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _blocks(documents: DataFrame, text_col: str, lang_col: str, orders: tuple[int, ...], pairs=None) -> DataFrame:
+    """lang, phrase, n over all rows: how often sequences occur within pieces, added up."""
+    arrow_batches(documents.sparkSession)
     rows = documents.select(
         F.coalesce(column(documents, lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(column(documents, text_col).cast("string"), F.lit("")).alias("text"),
@@ -140,19 +161,65 @@ def sequence_counts(
     def run(batches):
         blocks: dict[str, _Block] = {}
         held = 0
+        bitmap = None if pairs is None else pairs.value
+
+        def counted():
+            for lang, block in blocks.items():
+                yield from block.counted(lang, orders, bitmap)
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
                 held += blocks.setdefault(lang, _Block()).add(text)
                 if held > HELD_WORDS:
-                    for lang, block in blocks.items():
-                        yield from block.counted(lang, longest)
+                    yield from counted()
                     blocks.clear()
                     held = 0
-        for lang, block in blocks.items():
-            yield from block.counted(lang, longest)
+        yield from counted()
+
+    found = rows.mapInArrow(run, "lang string, phrase string, n bigint")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
 
-    schema = "lang string, w1 string, w2 string, w3 string, n bigint"
-    return rows.mapInArrow(run, schema).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """A bit map of the names of `pairs` (lang, phrase): at most `MAP_BITS` bits, whatever their number.
+
+    Beyond that it says yes too often, which costs time and changes no result.
+    """
+    size = min(max(1 << (16 * pairs.count()).bit_length(), 1 << 15), MAP_BITS)
+    shift = np.uint64(65 - size.bit_length())
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                words = [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
+                bits.append(_pair_names(*words, lang) >> shift)
+            if bits:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits).astype(np.int64))], ["bit"])
+
+    bits = pairs.select("lang", "phrase").mapInArrow(run, "bit bigint").groupBy(F.shiftright("bit", 15).alias("at"))
+    out = np.zeros(size >> 3, np.uint8)
+    for row in bits.agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("map")).collect():
+        out[row["at"] << 12 : (row["at"] + 1) << 12] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def sequence_counts(
+    documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST
+) -> DataFrame:
+    """lang, phrase, n: sequences of one to three words that occur `least` times or more.
+
+    Words are joined by a blank; the row whose phrase is null counts all words of the
+    language. A triple occurs no more often than its two pairs, so the second of
+    two scans sends only triples whose pairs a bit map of the frequent ones has.
+    Written once.
+    """
+    spark = documents.sparkSession
+    kept = (F.col("n") >= least) | F.col("phrase").isNull()
+    short = write_once(_blocks(documents, text_col, lang_col, (1, 2)).filter(kept), "sequences")
+    bitmap = spark.sparkContext.broadcast(_bitmap(short.filter("contains(phrase, ' ')")))
+    triples = _blocks(documents, text_col, lang_col, (LONGEST,), bitmap).filter(kept)
+    return short.unionByName(write_once(triples, "sequences"))
 
 
 def _carried(values: np.ndarray, at: np.ndarray, before: int) -> np.ndarray:
@@ -295,10 +362,11 @@ def collocations(
     score and a, falling, then phrase. Null texts are empty, a null language is
     `und`. Repeated rows count each time. Tables without phrases give no rows.
     """
-    counts = sequence_counts(documents, text_col, lang_col)
+    counts = sequence_counts(documents, text_col, lang_col, least)
+    words = F.split("phrase", " ")
+    words = [F.get(words, F.lit(i)).alias(w) for i, w in enumerate(_WORDS)]
     # The beginnings and endings of a phrase occur as often as it does, or more.
-    counts = write_once(counts.filter((F.col("n") >= least) | F.col("w1").isNull()), "sequences")
-    stream = counts.filter("w1 is not null")
+    stream = counts.filter("phrase is not null").select("lang", *words, "n")
     stream = _pass(stream, _WORDS, "begin1", "begin2", "longer1")
     # In suffix order: the last word first. Words that are not there come first.
     last = F.coalesce("w3", "w2", "w1")
@@ -306,7 +374,7 @@ def collocations(
     third = F.when(F.col("w3").isNotNull(), F.col("w1"))
     stream = stream.select("*", last.alias("e1"), second.alias("e2"), third.alias("e3"))
     stream = _pass(stream, ["e1", "e2", "e3"], "end1", "end2", "longer2")
-    return ranked(stream, counts.filter("w1 is null").select("lang", F.col("n").alias("words")), covered, first)
+    return ranked(stream, counts.filter("phrase is null").select("lang", F.col("n").alias("words")), covered, first)
 
 
 def ranked(stream: DataFrame, words: DataFrame, covered: int, first: int) -> DataFrame:

@@ -76,10 +76,10 @@ def test_blocks_and_chunks_of_any_size(spark, frame, rng, monkeypatch):
         for t, _ in rows:
             block.add(t.encode())
         found = Counter()
-        for batch in block.counted("en", 3):
+        for batch in block.counted("en", (1, 2, 3)):
             for r in batch.to_pylist():
-                if r["w1"] is not None:
-                    found[tuple(w for w in (r["w1"], r["w2"], r["w3"]) if w is not None)] += r["n"]
+                if r["phrase"] is not None:
+                    found[tuple(r["phrase"].split(" "))] += r["n"]
         want = Counter()
         for t, _ in rows:
             for piece in re.split("[.,;:!?\n-\r]", t):
@@ -91,10 +91,17 @@ def test_blocks_and_chunks_of_any_size(spark, frame, rng, monkeypatch):
 def test_more_words_than_three_numbers_hold(monkeypatch):
     block = module._Block()
     block.add(" ".join(f"w{i}" for i in range(1000)).encode())
-    real = [b.to_pylist() for b in block.counted("en", 3)]
+    real = [b.to_pylist() for b in block.counted("en", (1, 2, 3))]
     # As if there were 2^21 words and more: triples go by the number of their pair.
     block.numbers.update({f"other{i}".encode(): i for i in range(1001, (1 << 21) + 1)})
-    assert [b.to_pylist() for b in block.counted("en", 3)] == real
+    assert [b.to_pylist() for b in block.counted("en", (1, 2, 3))] == real
+
+
+def test_a_full_map_of_pairs_changes_nothing(frame, rng, monkeypatch):
+    rows = [(text(rng, [f"w{i}" for i in range(30)], 200), rng.choice(["en", "de"])) for _ in range(60)]
+    monkeypatch.setattr(module, "MAP_BITS", 8)
+    monkeypatch.setattr(module, "_bitmap", lambda pairs: __import__("numpy").full(1, 255, "uint8"))
+    assert run(frame, rows) == brute(rows)
 
 
 def test_none(spark, frame):
