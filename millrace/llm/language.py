@@ -1,21 +1,23 @@
 """Language identification by Kneser-Ney character models.
 
 Texts become lower-case letters with a space for whatever stands between, and
-four start marks. Each language has an interpolated Kneser-Ney model of character
-sequences up to four: Spark counts four-letter sequences of all training texts,
+start marks. A letter is its UTF-16 code: one sign of 16 bits, or two for letters
+beyond, so no two letters are taken for each other. Each language has an interpolated Kneser-Ney model of
+sequences of up to four signs: Spark counts sequences of four of all training texts,
 and the counts of shorter ones, the number of different letters seen before them,
 follow by aggregation. A text gets the language whose model gives it the lowest
-cross-entropy per character.
+cross-entropy per sign.
 
 How sure that is comes from the margin to the second language, in units that do
 not depend on length, by a monotone table measured on training texts that were
 kept out of the counts; below a given score a text is rejected.
 
-Sequences are kept exactly: four characters fill 64 bits, which are mixed without
-loss. Models of at most `BROADCAST_CELLS` sequences times languages are sorted
-arrays with a column for each language, which are broadcast. Larger ones stay in
-Spark tables: discounts, totals and probabilities are aggregations and joins, and
-texts are joined with the costs of their sequences.
+Sequences are kept exactly: four signs fill 64 bits, which are mixed without
+loss. Models are sorted hash arrays with a column for each language. Those of at
+most `BROADCAST_CELLS` sequences times languages are broadcast whole. Larger ones
+stay in Spark tables, from which each slice of texts, of a bounded number of bytes,
+gets a sorted array of its own: the distinct sequences of a slice are few, so what
+travels is a fraction of the texts, and no sequence meets all texts that have it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.common import arrow_batches, column, keyed, write_once
 
@@ -39,6 +42,8 @@ BROADCAST_CELLS = 3 << 19
 UNKNOWN = "und"
 CALIBRATION_PARTS = 16
 SLICE_CHARS = 1_000_000
+# Characters of texts that share a sorted array of costs, where models are tables.
+TABLE_SLICE = 16_000_000
 FLUSH_ROWS = 1_000_000
 MARGINS = 48
 _START, _SPACE = 1, 32
@@ -47,25 +52,34 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
-    """For each code point: its lower-case letter folded to 16 bits, or a space."""
+    """For each code point: its lower-case letter, or a space."""
     if "letters" not in _tables:
-        table = np.full(0x110000, _SPACE, np.uint16)
+        table = np.full(0x110000, _SPACE, np.uint32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
-                table[i] = (ord(low) if len(low) == 1 else i) & 0xFFFF or _SPACE
+                table[i] = ord(low) if len(low) == 1 else i
         table[0] = _START
         _tables["letters"] = table
     return _tables["letters"]
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences of four that end at each character, the text of each, and texts with a letter."""
-    joined = "\0\0\0" + "\0\0\0".join(t.replace("\0", " ") for t in texts)
+    """Sequences of four that end at each sign, the text of each, and texts with a letter."""
+    joined = "".join("\0\0\0" + t.replace("\0", " ") for t in texts)
     code = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER - 1)
+    far = code > 0xFFFF
+    if far.any():
+        # Letters beyond 16 bits are two signs from ranges that no letter is in.
+        wide = np.repeat(code, far + 1)
+        text = np.repeat(text, far + 1)
+        at = np.flatnonzero(far) + np.arange(far.sum())
+        wide[at] = 0xD800 + ((code[far] - 0x10000) >> 10)
+        wide[at + 1] = 0xDC00 + ((code[far] - 0x10000) & 0x3FF)
+        code = wide
     start, space = code == _START, code == _SPACE
-    text = (np.cumsum(start) - 1) // (ORDER - 1)
     some = np.bincount(text[~start & ~space], minlength=len(texts)) > 0
     keep = np.ones(len(code), bool)
     keep[1:] = ~(space[1:] & (space[:-1] | start[:-1]))
@@ -98,7 +112,7 @@ def _place(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
 
 
 def _last(gram: np.ndarray, order: int) -> np.ndarray:
-    """The last `order` characters."""
+    """The last `order` signs."""
     return gram & _U((1 << 16 * order) - 1)
 
 
@@ -107,14 +121,15 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, list] = {}
+        size = 0
 
-        def merged(parts):
-            frame = pd.concat(parts).groupby(level=0).sum()
-            return [frame]
+        def merged():
+            for lang, parts in held.items():
+                held[lang] = [pd.concat(parts).groupby(level=0).sum()]
+            return sum(len(parts[0]) for parts in held.values())
 
         def out():
-            for lang, parts in held.items():
-                frame = merged(parts)[0]
+            for lang, (frame,) in held.items():
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(frame), pa.string()),
@@ -134,9 +149,14 @@ def _counted(rows: DataFrame) -> DataFrame:
                 for _, some in _slices(own):
                     codes, grams = pd.factorize(_grams(some)[0])
                     counts = pd.Series(np.bincount(codes, minlength=len(grams)), index=grams)
-                    held[lang] = merged([*held.get(lang, []), counts])
-            if sum(len(p) for parts in held.values() for p in parts) > FLUSH_ROWS:
-                yield from out()
+                    held.setdefault(lang, []).append(counts)
+                    size += len(counts)
+            if size > FLUSH_ROWS:
+                size = merged()
+                if size > FLUSH_ROWS // 2:
+                    yield from out()
+                    size = 0
+        merged()
         yield from out()
 
     found = rows.mapInArrow(run, "lang string, gram bigint, n bigint")
@@ -215,27 +235,31 @@ class Models:
         out[open_] += math.log(0x10000)
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character and language, characters, and whether there is a letter."""
-        grams, text, some = _grams(texts)
-        codes, kinds = pd.factorize(grams)
-        sizes = np.bincount(text, minlength=len(texts))
-        sums = np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            costs = self.costs(kinds)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            for i in range(len(self.langs)):
-                sums[full, i] = np.add.reduceat(costs[codes, i], starts, dtype=np.float64)
-        return sums / np.maximum(sizes, 1)[:, None], sizes, some
-
     def chosen(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, margin, and whether there is a letter; ties go to the first language."""
-        entropy, sizes, some = self.entropies(texts)
-        best = np.argmin(entropy, axis=1)
-        order = np.sort(entropy, axis=1)
-        gap = order[:, 1] - order[:, 0] if entropy.shape[1] > 1 else np.ones(len(texts))
-        return best, gap * np.sqrt(sizes), some
+        """As `_chosen`, by these models."""
+        return _chosen(texts, self.costs, len(self.langs))
+
+
+def _chosen(texts: list[str], costs_of, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language, margin, and whether there is a letter; ties go to the first.
+
+    `costs_of` gives the cost of each of some distinct sequences by language. The
+    margin is of the cross-entropies per sign.
+    """
+    grams, text, some = _grams(texts)
+    codes, kinds = pd.factorize(grams)
+    sizes = np.bincount(text, minlength=len(texts))
+    sums = np.zeros((len(texts), langs))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        costs = costs_of(kinds)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for i in range(langs):
+            sums[full, i] = np.add.reduceat(costs[codes, i], starts, dtype=np.float64)
+    entropy = sums / np.maximum(sizes, 1)[:, None]
+    order = np.sort(entropy, axis=1)
+    gap = order[:, 1] - order[:, 0] if langs > 1 else np.ones(len(texts))
+    return np.argmin(entropy, axis=1), gap * np.sqrt(sizes), some
 
 
 def _looked_up(table: tuple, places: np.ndarray, missing: float) -> np.ndarray:
@@ -281,12 +305,12 @@ def _built(rows: pd.DataFrame, langs: list[str], bits: int) -> Models:
 
 
 def _tail(order: int) -> Column:
-    """The last characters of a sequence of this order, all but the first."""
+    """The last signs of a sequence of this order, all but the first."""
     return F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("bigint"))
 
 
 def _head(order: int) -> Column:
-    """All characters of a sequence of this order but the last."""
+    """All signs of a sequence of this order but the last."""
     return F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("bigint")
 
 
@@ -298,6 +322,7 @@ class Tables:
     in `Models`. No key of a join has more rows than there are letters, times languages.
     """
 
+    names: list[str]
     langs: DataFrame
     probabilities: DataFrame
     weights: DataFrame
@@ -322,42 +347,96 @@ class Tables:
         return now
 
     def chosen(self, rows: DataFrame) -> DataFrame:
-        """id, best, margin, letter for every row (id, text); see `Models.chosen`."""
+        """id, best, margin, letter for every row (id, text); see `_chosen`.
+
+        Texts are dealt into slices. Each slice sends its distinct sequences and
+        gets their costs as one sorted array, whatever the size of the models.
+        """
+        names = self.names
         kind = rows.schema["id"].dataType.simpleString()
+        texts = write_once(_sliced(rows), "language-texts")
+        asked = write_once(_asked(texts), "language-asked")
+        costs = self.costs(asked.select("gram").distinct()).groupBy("gram")
+        costs = costs.agg(F.sort_array(F.collect_list(F.struct("lang", "cost"))).alias("costs"))
+        costs = costs.select("gram", F.col("costs.cost").cast("array<float>").alias("costs"))
+        costs = write_once(costs, "language-costs")
+        found = asked.join(costs, "gram").groupBy("slice")
+
+        def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+            keys = found.column("gram").to_numpy()
+            first = np.argsort(keys, kind="stable")
+            values = found.column("costs").combine_chunks().flatten().to_numpy().reshape(-1, len(names))[first]
+            keys = keys[first]
+
+            def costs_of(grams):
+                return values[np.searchsorted(keys, grams.view(np.int64))]
+
+            best, margin, letter = [], [], []
+            for _, some in _slices(texts.column("text").to_pylist()):
+                a, b, c = _chosen(some, costs_of, len(names))
+                best += [names[i] for i in a]
+                margin.append(b)
+                letter.append(c)
+            return pa.table({
+                "id": texts.column("id"),
+                "best": pa.array(best, pa.string()),
+                "margin": pa.array(np.concatenate([*margin, np.empty(0)])),
+                "letter": pa.array(np.concatenate([*letter, np.empty(0, bool)]), pa.bool_()),
+            })
+
+        schema = f"id {kind}, best string, margin double, letter boolean"
+        return texts.groupBy("slice").cogroup(found).applyInArrow(run, schema)
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """slice, id, text: rows dealt into slices of about `TABLE_SLICE` characters; a longer text is one."""
+
+    def run(batches):
+        task, number, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                if held and held + len(text or "") > TABLE_SLICE:
+                    number, held = number + 1, 0
+                held += len(text or "") + 1
+                out.append(task + number)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.int64()), *batch.columns], ["slice", "id", "text"]
+            )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text").mapInArrow(run, f"slice bigint, id {kind}, text string")
+
+
+def _asked(texts: DataFrame) -> DataFrame:
+    """slice, gram: the distinct sequences of each slice; again where a slice is in two tasks."""
 
-        def run(batches):
-            for batch in batches:
-                for a, some in _slices(batch.column("text").to_pylist()):
-                    grams, text, letter = _grams(some)
-                    sizes = np.bincount(text, minlength=len(some))
-                    own = [np.unique(x, return_counts=True) for x in np.split(grams, np.cumsum(sizes)[:-1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("uid").slice(a, len(some)),
-                            batch.column("id").slice(a, len(some)),
-                            pa.array(sizes.astype(np.int64)),
-                            pa.array(letter),
-                            pa.array([g.view(np.int64) for g, _ in own], pa.list_(pa.int64())),
-                            pa.array([n for _, n in own], pa.list_(pa.int64())),
-                        ],
-                        ["uid", "id", "size", "letter", "grams", "counts"],
-                    )
-
-        schema = f"uid bigint, id {kind}, size bigint, letter boolean, grams array<bigint>, counts array<bigint>"
-        rows = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text")
-        rows = write_once(rows.mapInArrow(run, schema), "language-texts")
-        each = rows.select("uid", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
-        each = each.select("uid", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
-        costs = write_once(self.costs(each.select("gram").distinct()), "language-costs")
-        sums = each.join(costs, "gram").groupBy("uid", "lang").agg(F.sum(F.col("n") * F.col("cost")).alias("cost"))
-        order = Window.partitionBy("uid").orderBy("cost", "lang")
-        sums = sums.withColumn("nth", F.row_number().over(order)).filter("nth <= 2").groupBy("uid")
-        sums = sums.agg(F.min_by("lang", "nth").alias("best"), F.min("cost").alias("least"), F.max("cost").alias("next"), F.max("nth").alias("n"))
-        size = F.greatest("size", F.lit(1))
-        gap = F.when(F.col("n") > 1, (F.col("next") - F.col("least")) / size).otherwise(1.0) * F.sqrt("size")
-        return rows.join(sums, "uid", "left").select(
-            "id", "best", F.coalesce(gap, F.lit(0.0)).alias("margin"), "letter"
-        )
+    def run(batches):
+        slice_, held = None, []
+
+        def out():
+            grams = np.unique(np.concatenate(held)).view(np.int64)
+            own = pa.array(np.full(len(grams), slice_))
+            return pa.RecordBatch.from_arrays([own, pa.array(grams)], ["slice", "gram"])
+
+        for batch in batches:
+            slices = batch.column("slice").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if slices[a] != slice_ and held:
+                    yield out()
+                    held = []
+                slice_ = slices[a]
+                for _, some in _slices(batch.column("text").slice(a, b - a).to_pylist()):
+                    held.append(np.unique(_grams(some)[0]))
+                if len(held) > 8:
+                    held = [np.unique(np.concatenate(held))]
+        if held:
+            yield out()
+
+    return texts.select("slice", "text").mapInArrow(run, "slice bigint, gram bigint")
 
 
 def _tabled(orders: DataFrame) -> Tables:
@@ -388,7 +467,8 @@ def _tabled(orders: DataFrame) -> Tables:
     for part in parts[1:]:
         found = found.unionByName(part)
     weights = totals.select("lang", "rank", "context", F.log("rest").alias("left"))
-    return Tables(write_once(orders.select("lang").distinct(), "languages"), found, weights)
+    langs = write_once(orders.select("lang").distinct(), "languages")
+    return Tables(sorted(r["lang"] for r in langs.collect()), langs, found, weights)
 
 
 def _binned() -> Column:

@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import language
 from millrace.llm.language import Models, _grams, _monotone, identified, trained
@@ -110,6 +112,72 @@ def test_probabilities_sum_to_one(models):
     assert (total <= 1.001).all() and total[0] > 0.98
 
 
+def reference_grams(text):
+    """Sequences of a text by definition."""
+    signs, last = [], None
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            data = low.encode("utf-16-be")
+            signs += [data[i] << 8 | data[i + 1] for i in range(0, len(data), 2)]
+            last = c
+        elif last is not None and signs[-1] != 32:
+            signs.append(32)
+    signs = [1, 1, 1, *signs]
+    return [tuple(signs[i : i + 4]) for i in range(len(signs) - 3)]
+
+
+LETTERS = st.text(st.sampled_from("ab A\0\n1é語\u0130") | st.characters(exclude_categories=["Cs"]), max_size=12)
+FAR = st.text(st.sampled_from("\U00010001\U00020001\U00030001\U00010000\U0001F600\U00020061\U00020062ab "), max_size=12)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(LETTERS | FAR, max_size=6))
+def test_letters_of_all_planes(texts):
+    grams, text, some = _grams(texts)
+    for i, t in enumerate(texts):
+        own = [tuple(int(g) >> 16 * b & 0xFFFF for b in (3, 2, 1, 0)) for g in grams[text == i]]
+        assert own == reference_grams(t) and some[i] == any(c.isalpha() for c in t)
+
+
+def test_letters_beyond_sixteen_bits(spark, frame, monkeypatch):
+    assert not set(_grams(["\U00020061\U00020062"])[0]) & set(_grams(["ab"])[0])
+    odd = ["\U00010001 \U00020001" * 3, "\U00030001", "\U00020001\U00020001\U00020001"]
+    rows = [(t, "x") for t in odd * 20] + [("plain words", "y")] * 30
+    df = frame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    for bound in (0, language.BROADCAST_CELLS):
+        monkeypatch.setattr(language, "BROADCAST_CELLS", bound)
+        got = {r.id: r.lang for r in identified(df, trained(df)).collect()}
+        assert got == {i: lang for i, (_, lang) in enumerate(rows)}
+
+
+def test_labels_and_costs_are_the_least(spark, frame, rng):
+    """The query's labels by the definition: the language whose brute-force entropy is least."""
+    rows = [(t[:40], lang) for lang in ("aa", "bb") for t in texts(rng, lang, 8)]
+    df = frame(rows, "text string, lang string")
+    kept = [r for r in df.withColumn("o", F.pmod(F.xxhash64("text"), F.lit(16)) == 0).collect() if not r.o]
+    costs = {lang: brute_probabilities([r.text for r in kept if r.lang == lang]) for lang in ("aa", "bb")}
+    asked = [t[:12] for lang in SYLLABLES for t in texts(rng, lang, 4)]
+    got = identified(frame(list(enumerate(asked)), "doc_id bigint, text string"), trained(df)).collect()
+    for r in got:
+        own = {k: -sum(math.log(p(g)) for g in reference_grams(asked[r.id])) for k, p in costs.items()}
+        assert r.lang == min(own, key=lambda k: (round(own[k], 6), k))
+
+
+def test_slices_of_any_size_give_the_same(frame, rng, models, monkeypatch):
+    import random
+
+    own = random.Random(3)
+    rows = [(t, lang) for lang in SYLLABLES for t in texts(own, lang, 150)]
+    asked = [(i, t) for i, t in enumerate(t for lang in SYLLABLES for t in texts(rng, lang, 20))] * 2
+    df = frame(asked, "doc_id bigint, text string")
+    want = sorted((r.id, r.lang) for r in identified(df, models).collect())
+    monkeypatch.setattr(language, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(language, "TABLE_SLICE", 150)
+    tables = trained(frame(rows, "text string, lang string"))
+    assert sorted((r.id, r.lang) for r in identified(df, tables).collect()) == want
+
+
 def test_monotone():
     assert list(_monotone(np.array([1, 9, 5]), np.array([10, 10, 10]))) == [0.1, 0.7, 0.7]
 
