@@ -20,17 +20,18 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
+from array import array
 from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import re
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import arrow_batches, column, keyed, text_slices
-from millrace.llm.packing import BYTE_LEVEL
+from millrace.llm.packing import _PLAIN, BYTE_LEVEL, _is_odd
 
 # Words a task keeps, and the bytes up to which it keeps them.
 KNOWN_WORDS = 400_000
@@ -39,6 +40,10 @@ KNOWN_BYTES = 64
 STEP = 1024
 # Ids the decoder takes at a time.
 IDS = 1 << 16
+# Bytes up to which all pairs are looked through for each merge.
+SHORT = 48
+_ID = (1 << 24) - 1
+_NONE = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -84,7 +89,8 @@ class Vocabulary:
         self.letters = [ids[c] for c in byte_letters()]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(merges)))}
+        # For each pair its rank and, in the low bits, what it becomes.
+        self.ranks = {(a, b): rank * (_ID + 1) + c for rank, (a, b, c) in reversed(list(enumerate(merges)))}
         sizes = {i: len(x) for i, x in self.bytes.items()}
         self.lookahead = max(lookaheads(merges, sizes).values())
         self.longest = max(sizes.values())
@@ -97,34 +103,43 @@ class Vocabulary:
     def merged(self, word: bytes) -> list[int]:
         """Ids of a run of bytes: the merge of lowest rank first, of equal ones the leftmost."""
         ids = [self.letters[b] for b in word]
-        n = len(ids)
-        if n < 2:
-            return ids
-        ranks = self.ranks
+        return self._scanned(ids) if len(ids) <= SHORT else self._queued(ids)
+
+    def _scanned(self, ids: list[int]) -> list[int]:
+        """As `merged`, looking through all pairs for each merge: best for a few bytes."""
+        rank_of = self.ranks.get
+        found = list(map(rank_of, zip(ids, ids[1:]), repeat(_NONE)))
+        while found:
+            best = min(found)
+            if best == _NONE:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [new := best & _ID]
+            del found[i]
+            if i < len(found):
+                found[i] = rank_of((new, ids[i + 1]), _NONE)
+            if i:
+                found[i - 1] = rank_of((ids[i - 1], new), _NONE)
+        return ids
+
+    def _queued(self, ids: list[int | None]) -> list[int]:
+        """As `merged`, with a queue of pairs: in proportion to the bytes, but for a logarithm."""
+        n, rank_of = len(ids), self.ranks.get
         following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            found = ranks.get((ids[i], ids[i + 1]))
-            if found:
-                heap.append((found[0], i, found[1]))
-        heapq.heapify(heap)
-        while heap:
-            rank, i, new = heapq.heappop(heap)
+        queue = [(r, i) for i, r in enumerate(map(rank_of, zip(ids, ids[1:]), repeat(_NONE))) if r != _NONE]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
             j = following[i]
-            if ids[i] is None or j >= n or ranks.get((ids[i], ids[j])) != (rank, new):
+            if ids[i] is None or j >= n or rank_of((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = new, None
+            ids[i], ids[j] = rank & _ID, None
             k = following[i] = following[j]
             if k < n:
                 previous[k] = i
-                found = ranks.get((new, ids[k]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, found[1]))
-            p = previous[i]
-            if p >= 0:
-                found = ranks.get((ids[p], new))
-                if found:
-                    heapq.heappush(heap, (found[0], p, found[1]))
+            for a, b in ((i, k), (previous[i], i)):
+                if a >= 0 and b < n and (rank := rank_of((ids[a], ids[b]))) is not None:
+                    heapq.heappush(queue, (rank, a))
         return [x for x in ids if x is not None]
 
 
@@ -173,35 +188,46 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
+class _Known(dict):
+    """Ids of words, as bytes of 32-bit numbers, found when they are first asked for and kept up to a bound."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        data = word.encode()
+        if len(data) <= self.vocabulary.lookahead:
+            # Nothing is settled before the end.
+            found = self.vocabulary.merged(data)
+        else:
+            encoder = Encoder(self.vocabulary)
+            found = chain(encoder.feed(data), encoder.finish())
+        ids = array("i", found).tobytes()
+        if len(data) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Tokenizer:
     """Encodes whole texts word by word and decodes ids, keeping words it has met."""
 
     def __init__(self, spec: str):
         self.vocabulary = Vocabulary(spec)
-        self.words = regex.compile(BYTE_LEVEL).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        encoder, data = Encoder(self.vocabulary), word.encode()
-        ids = (*encoder.feed(data), *encoder.finish())
-        if len(data) <= KNOWN_BYTES:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        self.plain, self.full = re.compile(_PLAIN).findall, regex.compile(BYTE_LEVEL).findall
+        self.known = _Known(self.vocabulary)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        parts = []
         for i, part in enumerate(self.vocabulary.split(text)):
             if i % 2:
-                out.append(self.vocabulary.added[part])
+                parts.append(array("i", [self.vocabulary.added[part]]).tobytes())
                 continue
-            words, known = self.words(part), self.known
-            found = list(map(known.get, words))
-            if None in found:
-                found = [ids if ids is not None else known.get(w) or self._word(w) for ids, w in zip(found, words)]
-            out.extend(chain.from_iterable(found))
-        return out
+            words = self.full(part) if _is_odd(part) else self.plain(part)
+            parts.extend(map(self.known.__getitem__, words))
+        return np.frombuffer(b"".join(parts), np.intc)
 
     def decode(self, ids) -> str:
         decoder = Decoder(self.vocabulary)
@@ -244,7 +270,7 @@ def encoded(
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in text_slices(texts, 4 << 20):
-                lists = [np.array(tokenizer.encode(t), np.int32) for t in texts[a:b]]
+                lists = [tokenizer.encode(t) for t in texts[a:b]]
                 edges = np.cumsum([0, *map(len, lists)])
                 ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), ids], ["id", "ids"])

@@ -9,9 +9,12 @@ would spoil the shifts of long ones, so patterns are searched by classes of
 length. Many positions of a batch move on side by side, each in a stretch of its
 own, so a step is one vector operation.
 
-One pass over the documents searches the windows of at most `PASS_BYTES` of
-benchmark text, which bounds what is broadcast; a larger benchmark takes more
-passes, and their results are put together.
+Spark makes the windows of the benchmark distinct and numbers them; which items a
+window is from is joined back to the few numbers that were found. One pass over
+the documents searches about `PASS_BYTES` of distinct windows, which bounds what is
+broadcast, however often a benchmark text repeats; more windows take more passes.
+What is found depends on a text alone, so results of passes meet by the MD5 digest of
+the text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.llm.common import arrow_batches, column, keyed, packed, text_slices, utf8, write_once
 
 WINDOW = 10
-PASS_BYTES = 4 << 20
+PASS_BYTES = 32 << 20
 STRETCH = 1024
 # Least length in bytes of each class of patterns, and the block looked at.
 CLASSES = ((24, 12), (8, 5), (2, 2), (1, 1))
@@ -44,13 +47,13 @@ def _byte_table() -> np.ndarray:
 _BYTES = _byte_table()
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """The words of a text."""
-    data = (text or "").encode()
+    data = text if isinstance(text, bytes) else (text or "").encode()
     return _BYTES[np.frombuffer(data, np.uint8)].tobytes().split(b" ") if data else []
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> list[tuple[bytes, int]]:
+def windows_of(text: str | bytes | None, size: int = WINDOW) -> list[tuple[bytes, int]]:
     """The windows of an item, as words joined by spaces, and how many words they have."""
     words = [w for w in words_of(text) if w]
     if not words:
@@ -62,7 +65,7 @@ def windows_of(text: str | None, size: int = WINDOW) -> list[tuple[bytes, int]]:
 class Patterns:
     """Tables for the windows of some items: (item id as a string or None, text)."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | bytes | None]], size: int = WINDOW):
         owners: dict[tuple[bytes, int], set] = defaultdict(set)
         for item, text in items:
             for window in windows_of(text, size):
@@ -187,23 +190,42 @@ def occurrences(texts: list[bytes], patterns: Patterns):
     return counts, spans, items
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> list:
-    """Broadcast tables, each for the windows of about `most` bytes of benchmark text."""
-    spark = benchmark.sparkSession
-    rows = keyed(benchmark, id_col, text_col).select(F.col("id").cast("string").alias("id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (number, window), and which items have them (number, item). Written once."""
+    rows = keyed(benchmark, id_col, text_col).select(F.col("id").cast("string").alias("item"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                found = list({w for w, _ in windows_of(text, size)})
+                for a in range(0, len(found), 10_000):
+                    part = pa.array(found[a : a + 10_000], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(part), pa.string()), part], ["item", "window"]
+                    )
+
+    owned = write_once(rows.mapInArrow(run, "item string, window binary"), "benchmark-windows")
+    number = F.monotonically_increasing_id().alias("number")
+    windows = write_once(owned.select("window").distinct().select(number, "window"), "windows")
+    return windows, owned.filter("item is not null").join(windows, "window").select("number", "item")
+
+
+def _passes(windows: DataFrame, size: int, most: int):
+    """Broadcast tables, each for about `most` bytes of distinct windows."""
+    total = windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0
     passes = max(1, -(-total // most))
-    part = F.pmod(F.xxhash64("text"), F.lit(passes))
+    part = F.pmod(F.xxhash64("window"), F.lit(passes))
     for i in range(passes):
-        items = rows.filter((part == i) & F.col("text").isNotNull()).collect()
-        yield spark.sparkContext.broadcast(Patterns([(r["id"], r["text"]) for r in items], size))
+        found = windows.filter(part == i).collect()
+        items = [(str(r["number"]), bytes(r["window"])) for r in found]
+        yield windows.sparkSession.sparkContext.broadcast(Patterns(items, size))
 
 
 _SPANS = "array<struct<a:int,b:int>>"
 
 
 def _hit(rows: DataFrame, tables, only_hit: bool) -> DataFrame:
-    """`rows` (id, text) with n_words, spans and items."""
+    """`rows` (id, text_key, text) with n_words, spans and numbers of windows."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -217,13 +239,13 @@ def _hit(rows: DataFrame, tables, only_hit: bool) -> DataFrame:
                     batch.column("text_key"),
                     pa.array(counts),
                     pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], span),
-                    pa.array([sorted(set(i)) for i in items], pa.list_(pa.string())),
+                    pa.array([sorted(set(map(int, i))) for i in items], pa.list_(pa.int64())),
                 ],
-                ["id", "text_key", "n_words", "spans", "items"],
+                ["id", "text_key", "n_words", "spans", "numbers"],
             )
             yield out.filter(pa.array([bool(s) for s in spans])) if only_hit else out
 
-    schema = f"id {kind}, text_key bigint, n_words bigint, spans {_SPANS}, items array<string>"
+    schema = f"id {kind}, text_key binary, n_words bigint, spans {_SPANS}, numbers array<bigint>"
     return rows.mapInArrow(run, schema)
 
 
@@ -256,28 +278,29 @@ def contamination(
     empty benchmark hits nothing; an empty table gives no rows.
     """
     arrow_batches(documents.sparkSession)
-    rows = keyed(documents, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    passes = _passes(benchmark, item_col, "text", size, pass_bytes)
-    first = _hit(rows, next(passes), only_hit=False)
-    more = [_hit(rows, tables, only_hit=True) for tables in passes]
-    if more:
-        # Equal rows have equal results, so one of them is enough.
-        found = more[0]
-        for other in more[1:]:
-            found = found.unionByName(other)
-        found = write_once(found, "hits").groupBy("id", "text_key").agg(
-            F.array_distinct(F.flatten(F.collect_set("spans"))).alias("more_spans"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"),
-        )
-        same = first["id"].eqNullSafe(found["id"]) & (first["text_key"] == found["text_key"])
-        joined = first.join(found, same, "left")
-        none = F.array()
-        first = joined.select(
-            first["id"],
-            "n_words",
-            F.concat("spans", F.coalesce("more_spans", none.cast(_SPANS))).alias("spans"),
-            F.array_union("items", F.coalesce("more_items", none.cast("array<string>"))).alias("items"),
-        )
+    rows = keyed(documents, id_col, text_col).withColumn("text_key", _text_key(F.col("text")))
+    windows, owners = _windows(benchmark, item_col, "text", size)
+    passes = _passes(windows, size, pass_bytes)
+    first = write_once(_hit(rows, next(passes), only_hit=False), "words")
+    found = ["text_key", "spans", "numbers"]
+    hits = first.filter(F.size("spans") > 0).select(*found)
+    for tables in passes:
+        hits = hits.unionByName(_hit(rows, tables, only_hit=True).select(*found))
+    # Equal texts have equal results, and one row for all of them.
+    hits = hits.groupBy("text_key").agg(
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers"),
+    )
+    hits = write_once(hits, "hits")
+    items = hits.select("text_key", F.explode("numbers").alias("number")).join(owners, "number")
+    items = items.groupBy("text_key").agg(F.collect_set("item").alias("items"))
+    hits = hits.drop("numbers").join(items, "text_key", "left")
+    first = first.select("id", "text_key", "n_words").join(hits, "text_key", "left").select(
+        "id",
+        "n_words",
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
     return first.select(
         "id",
         "n_words",
@@ -295,16 +318,34 @@ def decontaminated(
     size: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
-    """The rows of which no word is in an occurrence of a benchmark window, whole."""
+    """The rows of which no word is in an occurrence of a benchmark window, whole.
+
+    Null and empty texts have no words and stay. Rows with null or repeated ids are
+    judged each by its own text. An empty benchmark keeps all rows; an empty table
+    stays empty. The corpus is filtered once, however many passes search it.
+    """
     arrow_batches(documents.sparkSession)
     rows = packed(documents, text_col)
-    for i, tables in enumerate(_passes(benchmark, item_col, "text", size, pass_bytes)):
+    passes = list(_passes(_windows(benchmark, item_col, "text", size)[0], size, pass_bytes))
+    if len(passes) == 1:
+        tables = passes[0]
 
-        def run(batches, tables=tables):
+        def run(batches):
             patterns = tables.value
             for batch in batches:
                 _, spans, _ = occurrences(utf8(batch.column("text")), patterns)
                 yield batch.filter(pa.array([not s for s in spans]))
 
-        rows = (write_once(rows, "clean") if i else rows).mapInArrow(run, rows.schema)
-    return rows.select("row.*")
+        return rows.mapInArrow(run, rows.schema).select("row.*")
+    keys = rows.withColumn("text_key", _text_key(F.col("text")))
+    asked = keys.select(F.lit(0).alias("id"), "text_key", "text")
+    hits = _hit(asked, passes[0], only_hit=True)
+    for tables in passes[1:]:
+        hits = hits.unionByName(_hit(asked, tables, only_hit=True))
+    hits = write_once(hits.select("text_key").distinct(), "hits")
+    return keys.join(hits, "text_key", "left_anti").select("row.*")
+
+
+def _text_key(text: Column) -> Column:
+    """The digest by which equal texts meet."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -218,7 +218,10 @@ def trained(
     """A model from labelled rows, at most about `sample` of them.
 
     Null ids and null labels do not count. An id labelled more than once counts as
-    1 if most of its labels are. Without labels the model is constant.
+    1 if most of its labels are. Of rows with one id only one counts, that with the
+    least hash of its text, so a repeated id adds neither rows nor weight. Null
+    texts count as empty. Without labels, or with an empty table, the model is
+    constant.
     """
     arrow_batches(documents.sparkSession)
     key = column(labels, id_col)
@@ -227,7 +230,7 @@ def trained(
     marked = marked.agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     share = min(1.0, 0.95 * sample / max(marked.count(), 1))
     drawn = F.pmod(F.xxhash64("id"), F.lit(_PARTS)) < int(share * _PARTS) + (share == 1.0)
-    rows = keyed(documents, id_col, text_col).filter(drawn)
+    rows = keyed(documents, id_col, text_col).filter(drawn).withColumn("hash", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -235,10 +238,12 @@ def trained(
             x = features(utf8(batch.column("text")))
             found = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), found.cast(pa.list_(pa.float32()))], ["id", "x"]
+                [batch.column("id"), batch.column("hash"), found.cast(pa.list_(pa.float32()))], ["id", "hash", "x"]
             )
 
-    found = rows.mapInArrow(run, f"id {kind}, x array<float>").join(marked.filter(drawn), "id")
+    found = rows.mapInArrow(run, f"id {kind}, hash bigint, x array<float>")
+    found = found.groupBy("id").agg(F.min(F.struct("hash", "x")).alias("least"))
+    found = found.select("id", "least.x").join(marked.filter(drawn), "id")
     got = sorted((r["id"], tuple(r["x"]), r["label"]) for r in found.collect())
     x = np.array([r[1] for r in got], np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[2] for r in got], np.float64))
@@ -259,7 +264,11 @@ def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def accepted(documents: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose text scores `least` or more, whole."""
+    """The rows whose text scores `least` or more, whole.
+
+    A null text counts as empty and is kept or not by the score of that. Rows with
+    null or repeated ids are judged each by its own text. An empty table stays empty.
+    """
     arrow_batches(documents.sparkSession)
     rows = packed(documents, text_col)
     sent = rows.sparkSession.sparkContext.broadcast(model)

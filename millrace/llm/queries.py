@@ -48,7 +48,8 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    found = chat.formatted(rows.unionByName(more))
+    # The template writes each turn by itself.
+    found = chat.formatted(rows.unionByName(more), context=0)
     return found.mapInArrow(
         _digests,
         f"conv_id {found.schema['id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string,"

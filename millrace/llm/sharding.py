@@ -3,7 +3,8 @@
 Records hash into a fixed number of slots. Bytes are added up per slot, and a
 map, a table with a version, says which shard a slot is in. To rebalance or to
 grow, the map is edited and records of the moved slots follow; no record changes
-its slot. Only DataFrame functions are used.
+its slot. Sizes are to be equal, which asks for no tie between id and slot. Only
+DataFrame functions are used.
 
 The map has one row per slot, so its size is bounded by the number of slots,
 whatever the data. Records are numbered within pieces of slots (a slot's rows by
@@ -24,13 +25,15 @@ PIECES = 64
 def sized(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS):
     """Per record: id, size, text_crc32, virtual slot, piece. Written once.
 
-    Size is the UTF-8 bytes of the text plus one; a null text has none. A null id
-    takes its slot from the text. Repeated rows count each. No text is kept.
+    Size is the UTF-8 bytes of the text plus one; a null text has none. A record's
+    slot follows from its id, its text and its place in the table, so rows with one
+    id, or repeated ones, spread over all slots. The slot is kept with the record.
+    Null ids and repeated rows count like any. No text is kept.
     """
     text = column(documents, text_col).cast("string")
     key = column(documents, id_col)
     data = F.coalesce(text, F.lit("")).cast("binary")
-    by = F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
+    by = F.xxhash64(key, text, F.monotonically_increasing_id())
     rows = documents.select(
         key.alias("id"),
         (F.octet_length(data).cast("bigint") + 1).alias("size"),

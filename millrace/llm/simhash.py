@@ -6,8 +6,9 @@ Manhattan distance of two embeddings is a lower bound of their Hamming distance.
 The range join under that bound lays grids over groups of segments: where the
 distance is at most three, at most three of six groups differ, so two embeddings
 share the cell of some three groups. Within a cell rows are sorted by their total
-bit count, the bound in one dimension, compared only while it differs by at most
-three, and verified on the fingerprints themselves.
+bit count, the bound in one dimension. Those for which it differs by at most three
+are compared by the Manhattan distance of their embeddings, and what is left is
+verified on the fingerprints themselves.
 
 Only distinct fingerprints are joined. A cell gives out a spanning forest of its
 links, not all its pairs. A cell with more than `MOST` fingerprints is not
@@ -34,8 +35,6 @@ SEED = 42
 MOST = 4096
 # Hashes whose bits are unpacked at once; words and hashes of a text are held whole.
 HASHES_AT_ONCE = 1 << 16
-# Beyond so many distinct fingerprints the finer grid comes first; for cost only.
-COARSE_ROWS = 1 << 24
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -121,6 +120,16 @@ def _cells(fps: DataFrame, grid: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("cell"), "fp")
 
 
+def _steps(fp: np.ndarray) -> np.ndarray:
+    """The embedding in unary: each segment's count as that many bits, from the right.
+
+    The bits in which two differ are as many as the Manhattan distance of the embeddings.
+    """
+    even = np.uint64(0x5555555555555555)
+    low, high = fp & even, fp >> np.uint64(1) & even
+    return low | high | (low & high) << np.uint64(1)
+
+
 def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after linking rows i and j."""
     while True:
@@ -140,6 +149,7 @@ def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _forest(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, least row) that connect what is linked within cells; rows are sorted."""
     total = np.bitwise_count(fp.view(np.uint64)).astype(np.int16)
+    steps = _steps(fp.view(np.uint64))
     label, at, step = np.arange(len(fp)), np.arange(len(fp)), 1
     while True:
         at = at[at + step < len(fp)]
@@ -147,7 +157,8 @@ def _forest(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray
         at = at[near]
         if not len(at):
             break
-        hit = at[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= distance]
+        near = at[np.bitwise_count(steps[at] ^ steps[at + step]) <= distance]
+        hit = near[np.bitwise_count((fp[near] ^ fp[near + step]).view(np.uint64)) <= distance]
         label = _united(label, hit, hit + step)
         step += 1
     linked = np.flatnonzero(label != np.arange(len(fp)))
@@ -197,14 +208,10 @@ def _compared(cells: DataFrame, distance: int, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(fps: DataFrame, distance: int = DISTANCE, most: int = MOST, grid: int | None = None) -> DataFrame:
+def linked(fps: DataFrame, distance: int = DISTANCE, most: int = MOST, grid: int = 0) -> DataFrame:
     """Links that connect all fingerprints (column `fp`, distinct) that differ in few bits."""
     if distance > DISTANCE:
         raise ValueError(f"the grids hold for a distance of {DISTANCE} bits at most")
-    if most < MOST and grid is None:
-        raise ValueError(f"a cell of the last grid may hold {MOST} fingerprints")
-    if grid is None:
-        grid = 0 if fps.count() <= COARSE_ROWS else 1
     arrow_batches(fps.sparkSession, 100_000)
     found = None
     while True:

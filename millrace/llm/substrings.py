@@ -12,11 +12,13 @@ Each window of fifty words has an anchor: the least name among triples of those
 of its symbols that no surroundings can change, in the last round that leaves any.
 Equal windows have equal anchors. Spark first counts in which documents anchors
 occur; windows whose anchor is in one document only are done. The others are
-verified: their 128-bit fingerprints are grouped to find the least document. The
-windows removed are then exactly those that repeat, but for a chance in the order
-of 2^-128 for each pair of windows.
+verified: their 128-bit fingerprints are grouped to find the least document.
 
 Copies of a whole document are settled by a fingerprint of its words beforehand.
+Rows with one id are told apart by the MD5 digest of their texts. So what is removed
+is exactly what repeats, unless two different words, windows, or texts of one id have
+the same 128 bits: for each such pair a chance in the order of 2^-128, if their
+makers did not aim at it.
 """
 
 from __future__ import annotations
@@ -170,7 +172,7 @@ def _parsed(batch, rows=None):
 
 
 def _surveyed(rows: DataFrame, size: int) -> DataFrame:
-    """id, text_key, n_words, a fingerprint of all words, and the text's anchors."""
+    """id, text_key, n_words, a fingerprint of all words, the text's anchors, and a number of the row."""
 
     def run(batches):
         for batch in batches:
@@ -201,14 +203,15 @@ def _surveyed(rows: DataFrame, size: int) -> DataFrame:
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(
+    found = rows.mapInArrow(
         run,
-        f"id {kind}, text_key int, n_words bigint, whole bigint, whole2 bigint, anchors array<bigint>",
+        f"id {kind}, text_key binary, n_words bigint, whole bigint, whole2 bigint, anchors array<bigint>",
     )
+    return found.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _candidates(rows: DataFrame, size: int) -> DataFrame:
-    """print1, print2, id, text_key, at: the windows whose anchor is in the row's list `shared`."""
+    """print1, print2, id, uid, at: the windows whose anchor is in the row's list `shared`."""
 
     def run(batches):
         for batch in batches:
@@ -230,19 +233,19 @@ def _candidates(rows: DataFrame, size: int) -> DataFrame:
                         pa.array(_prints(words.names, at, size, _FACTORS[0]).view(np.int64)),
                         pa.array(_prints(words.other, at, size, _FACTORS[1]).view(np.int64)),
                         batch.column("id").take(pa.array(doc + a)),
-                        batch.column("text_key").take(pa.array(doc + a)),
+                        batch.column("uid").take(pa.array(doc + a)),
                         pa.array((at - words.starts[doc]).astype(np.int32)),
                     ],
-                    ["print1", "print2", "id", "text_key", "at"],
+                    ["print1", "print2", "id", "uid", "at"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"print1 bigint, print2 bigint, id {kind}, text_key int, at int")
+    return rows.mapInArrow(run, f"print1 bigint, print2 bigint, id {kind}, uid bigint, at int")
 
 
 def _small(df: DataFrame, numbers: str) -> DataFrame:
     """`df`, marked to be broadcast if it holds few enough numbers."""
-    total = df.agg(F.coalesce(F.sum(F.size(numbers) + 3), F.lit(0))).first()[0]
+    total = df.agg(F.coalesce(F.sum(F.size(numbers) + 5), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= BROADCAST_NUMBERS else df
 
 
@@ -255,24 +258,26 @@ def _repeats(rows: DataFrame, size: int) -> DataFrame:
     copies = wholes.join(least, ["whole", "whole2"]).filter("id > least").select("id", "text_key")
     copies = write_once(copies.distinct(), "copies")
     kept = survey.join(copies, ["id", "text_key"], "left_anti")
-    anchor = kept.select("id", "text_key", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    anchor = kept.select("id", "uid", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = anchor.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     shared = write_once(shared.filter("least < most").select("anchor"), "shared")
-    lists = anchor.join(shared, "anchor").groupBy("id", "text_key")
-    lists = write_once(lists.agg(F.collect_set("anchor").alias("shared")), "shared-lists")
+    lists = anchor.join(shared, "anchor").groupBy("uid").agg(F.collect_set("anchor").alias("shared"))
+    # Rows with the same id and text have the same list: the first stands for all.
+    lists = lists.join(survey.select("uid", "id", "text_key"), "uid").groupBy("id", "text_key")
+    lists = write_once(lists.agg(F.min("uid").alias("uid"), F.min_by("shared", "uid").alias("shared")), "shared-lists")
     texts = rows.join(_small(lists, "shared"), ["id", "text_key"])
     found = write_once(_candidates(texts, size), "windows")
     first = found.groupBy("print1", "print2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     first = write_once(first.filter("least < most").drop("most"), "repeated")
-    again = found.join(first, ["print1", "print2"]).filter("id > least")
-    again = again.select("id", "text_key", "at").distinct()
-    order = Window.partitionBy("id", "text_key").orderBy("at")
+    again = found.join(first, ["print1", "print2"]).filter("id > least").select("uid", "at").distinct()
+    order = Window.partitionBy("uid").orderBy("at")
     gap = F.coalesce(F.col("at") - F.lag("at").over(order) > size, F.lit(True))
     again = again.withColumn("span", F.sum(gap.cast("int")).over(order))
-    spans = again.groupBy("id", "text_key", "span").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    spans = spans.groupBy("id", "text_key").agg(
+    spans = again.groupBy("uid", "span").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    spans = spans.groupBy("uid").agg(
         F.collect_list(F.struct("a", (F.col("b") + size).alias("b"))).alias("spans")
     )
+    spans = spans.join(lists.drop("shared"), "uid")
     whole = copies.select("id", "text_key", F.lit(True).alias("copy"), F.lit(None).alias("spans"))
     parts = spans.select("id", "text_key", F.lit(False).alias("copy"), "spans")
     return write_once(parts.unionByName(whole), "spans")
@@ -295,7 +300,7 @@ def _cut(lists: list[list[bytes]], copies: list, spans: list) -> list[list[bytes
 
 def _text_key(text_col):
     """Tells texts of rows with the same id apart."""
-    return F.coalesce(F.hash(text_col), F.lit(0))
+    return F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
 
 
 def without_repeats(

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm.language import fold
+from millrace.llm import quality
 from millrace.llm.quality import FEATURES, accepted, features, fit, scored, trained
 
 
@@ -79,6 +80,17 @@ def test_sample_is_bounded(frame, rng, monkeypatch):
     assert 60 <= seen[0] <= 130
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(frame, monkeypatch):
+    """An id with most of all rows sends one row to the driver, whichever task reads it."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x.copy()))
+    rows = [(1, f"text {i} of many") for i in range(3000)] + [(i, f"row {i}") for i in range(2, 200)]
+    labels = frame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    for parts in (1, 5):
+        trained(frame(rows, "doc_id bigint, text string", parts), labels, sample=1000)
+    assert len(seen[0]) == len(seen[1]) == 199 and (seen[0] == seen[1]).all()
+
+
 def test_stage_keeps_clashing_columns(frame, rng):
     rows, labels = corpus(rng, 100)
     documents = frame([(*r, 0.5, "x") for r in rows], "doc_id bigint, text string, score double, row string")

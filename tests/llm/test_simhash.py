@@ -119,3 +119,14 @@ def test_long_texts_are_counted_in_parts(monkeypatch, rng, at_once):
     monkeypatch.setattr(simhash, "HASHES_AT_ONCE", at_once)
     found = simhash.fingerprints([t.encode() for t in texts])
     assert found.tolist() == [fingerprint(t) for t in texts]
+
+
+def test_unary_counts_give_the_manhattan_distance(rng):
+    """The bound the cells are filtered by is the distance of the segment counts, and never too large."""
+    values = np.array([rng.getrandbits(64) for _ in range(400)] + [0, 2**64 - 1], np.uint64)
+    counts = np.array([[bin(int(v) >> (2 * i) & 3).count("1") for i in range(32)] for v in values])
+    steps = simhash._steps(values)
+    for i in range(0, len(values), 7):
+        far = np.abs(counts - counts[i]).sum(1)
+        assert (np.bitwise_count(steps ^ steps[i]) == far).all()
+        assert (far <= np.bitwise_count(values ^ values[i])).all()

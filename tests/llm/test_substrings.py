@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import substrings
 from millrace.llm.substrings import repeats_removed, without_repeats
@@ -65,6 +66,17 @@ def test_nulls_empty_texts_repeated_rows_and_ids(frame):
     assert got == brute(rows, 50)
 
 
+def test_texts_of_one_id_with_the_same_short_hash(spark, frame):
+    """Rows of one id are told apart, also where 32 bits of their texts are the same."""
+    passage, clean = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    heads = spark.range(200_000).select(F.concat(F.lit(passage + " s"), "id").alias("a"), F.concat(F.lit(clean + " z"), "id").alias("b"))
+    a = heads.select("a", F.hash("a").alias("h"))
+    one = a.join(heads.select("b", F.hash("b").alias("h")), "h").first()
+    assert one is not None
+    rows = [(1, passage), (2, one.a), (2, one.b)]
+    assert rows_of(without_repeats(frame(rows, "doc_id bigint, text string"))) == brute(rows, 50)
+
+
 def test_empty_table(frame):
     assert without_repeats(frame([], "doc_id bigint, text string")).count() == 0
     assert repeats_removed(frame([], "doc_id bigint, text string")).count() == 0
