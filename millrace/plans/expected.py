@@ -67,6 +67,37 @@ _SESSION_ROWS = """
 """
 _SESSION_SPAN = "min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end"
 
+# Each view is looked at as if an attempt began there; then from the first view of a
+# user the next is the first one after the end of the one before.
+_FUNNEL = """
+    WITH RECURSIVE e AS (
+        SELECT user_id, ts, event_type AS kind, {'t': ts, 'i': event_id} AS pos
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+    ), clicked AS (
+        SELECT v.user_id, v.pos, v.ts + INTERVAL 2 DAY AS due, min(c.pos) AS click
+        FROM e v LEFT JOIN e c ON c.user_id = v.user_id AND c.kind = 'click' AND c.pos > v.pos
+            AND c.ts < v.ts + INTERVAL 2 DAY
+        WHERE v.kind = 'view' GROUP BY ALL
+    ), bought AS (
+        SELECT v.user_id, v.pos, due, click, min(b.pos) AS buy
+        FROM clicked v LEFT JOIN e b ON b.user_id = v.user_id AND b.kind = 'purchase' AND b.pos > click
+            AND b.ts < due
+        GROUP BY ALL
+    ), attempts AS (
+        SELECT v.user_id, v.pos, click, buy,
+               count(*) FILTER (e.pos >= v.pos AND e.ts < due AND (buy IS NULL OR e.pos <= buy)) AS n_events,
+               min(e.pos) FILTER (e.kind = 'view' AND CASE WHEN buy IS NULL THEN e.ts >= due ELSE e.pos > buy END) AS next
+        FROM bought v JOIN e USING (user_id) GROUP BY ALL
+    ), taken AS (
+        SELECT user_id, min(pos) AS pos FROM attempts GROUP BY user_id
+        UNION ALL
+        SELECT user_id, next FROM taken JOIN attempts USING (user_id, pos) WHERE next IS NOT NULL
+    )
+    SELECT user_id, pos.t AS viewed_at, click.t AS clicked_at, buy.t AS bought_at,
+           CASE WHEN buy IS NOT NULL THEN 3 WHEN click IS NOT NULL THEN 2 ELSE 1 END AS steps, n_events
+    FROM taken JOIN attempts USING (user_id, pos)
+"""
+
 EXPECTED = {
     "returned_lines": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
@@ -215,4 +246,5 @@ EXPECTED = {
                     ELSE 'idle' END AS progress
         FROM ({_SESSION_ROWS}) GROUP BY user_id, session_no
     """,
+    "stream_purchase_funnel": _FUNNEL,
 }

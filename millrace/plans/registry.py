@@ -38,5 +38,6 @@ QUERIES = {
         streams.stream_without_repeats,
         streams.stream_purchases_near_clicks,
         streams.stream_user_progress,
+        streams.stream_purchase_funnel,
     )
 }

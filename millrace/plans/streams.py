@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exact import scaled
 from ..sources.tables import stream_table
+from ..streaming.funnel import funnel
 from ..streaming.interval_join import interval_pairs
 from ..streaming.repeats import without_repeats
-from ..streaming.runner import closable, drained
+from ..streaming.runner import LAST_PANDAS_INSTANT, closable, drained
 from ..streaming.sessions import session_totals
 from ..streaming.windows import tumbling_totals
-from .events import HOUR, with_zone_free
+from .events import DAY, HOUR, with_zone_free
 
 DELAY = "10 minutes"
 # Bounds a micro-batch, so that watermarks move and state is let go as a stream is
@@ -90,3 +91,22 @@ def stream_user_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sessions = drained(reached, "user-progress", closing=closing)
     return with_zone_free(sessions, "session_start", "session_end")
+
+
+def stream_purchase_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of each user to go from a view over a click to a purchase within two days."""
+    events, closing = closable(_stream(spark, sf_dir), "ts", LAST_PANDAS_INSTANT)
+    attempts = funnel(
+        events, "user_id", "ts", "event_id", "event_type", ["view", "click", "purchase"], 2 * DAY, DELAY
+    )
+    at = lambda i: F.get("reached_at", F.lit(i))
+    found = attempts.select(
+        "user_id",
+        at(0).alias("viewed_at"),
+        at(1).alias("clicked_at"),
+        at(2).alias("bought_at"),
+        F.size("reached_at").alias("steps"),
+        "n_events",
+    )
+    found = drained(found, "purchase-funnel", closing=closing)
+    return with_zone_free(found, "viewed_at", "clicked_at", "bought_at")

@@ -29,9 +29,11 @@ class Closing(NamedTuple):
 
 # Later than any row, and far enough from the last instant that windows can be added.
 LAST_INSTANT = "9000-01-01 00:00:00Z"
+# The same for streams whose rows reach pandas, whose times end in 2262.
+LAST_PANDAS_INSTANT = "2261-01-01 00:00:00Z"
 
 
-def closable(stream: DataFrame, time: str) -> tuple[DataFrame, Closing]:
+def closable(stream: DataFrame, time: str, last: str = LAST_INSTANT) -> tuple[DataFrame, Closing]:
     """The stream, and what `drained` needs to close it.
 
     Closing sends one more row, which is null but for a time later than all
@@ -42,13 +44,13 @@ def closable(stream: DataFrame, time: str) -> tuple[DataFrame, Closing]:
     folder = new_path(spark, "closing")
     first = spark.range(1).select(
         *[
-            (F.lit(LAST_INSTANT) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.lit(last) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in stream.schema.fields
         ]
     )
     first.limit(0).write.parquet(folder)
-    last = spark.readStream.schema(stream.schema).parquet(folder)
-    return stream.unionByName(last), Closing(folder, first)
+    closing = spark.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(closing), Closing(folder, first)
 
 
 def drained(
