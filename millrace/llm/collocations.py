@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.common import arrow_batches, column, utf8, write_once
+from millrace.operators.ranking import top_per_group
 
 LONGEST = 3
 LEAST = 10
@@ -396,8 +397,7 @@ def ranked(stream: DataFrame, words: DataFrame, covered: int, first: int) -> Dat
         F.when(early, second).otherwise(F.col("end1")).alias("r"),
         F.when(early, F.col("cut1")).otherwise(F.col("cut2")).alias("score"),
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= first)
+    rows = top_per_group(rows, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], first)
     return rows.join(words, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score"
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score"
     )
