@@ -18,11 +18,13 @@ def top_per_group(
 
     `order` must tell all rows of a group apart. Up to 1,000 rows Spark pushes the
     filter on the row number below the shuffle, so each task sends at most `rows`
-    rows of a group. For more, rows are first numbered within parts of groups, and
-    only what is first in its part meets the rest of its group.
+    rows of a group. For more, rows are first numbered within parts of groups, at
+    least as many as there are shuffle partitions, and only what is first in its
+    part meets the rest of its group.
     """
     if rows > PUSHED_ROWS:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
         in_part = Window.partitionBy(*keys, _PART).orderBy(*order)
         df = df.withColumn(_PART, part).withColumn(rank, F.row_number().over(in_part))
         df = df.where(F.col(rank) <= rows).drop(_PART, rank)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_KEY, _NO_KEY = "k", "n"
 Event = tuple[int, int, str]  # time in microseconds, a number that orders equal times, kind
 
 
@@ -63,8 +64,8 @@ def advanced(
 class Funnel(StatefulProcessor):
     """Gives out each attempt of a key when it has ended."""
 
-    def __init__(self, key: str, steps: list[str], limit: int):
-        self.key, self.steps, self.limit = key, steps, limit
+    def __init__(self, steps: list[str], limit: int):
+        self.steps, self.limit = steps, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -73,6 +74,8 @@ class Funnel(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: list[Event] = []
+        if key[0] == _NO_KEY:
+            return
         for frame in rows:
             new += zip(frame["time"].tolist(), frame["number"].tolist(), frame["kind"].tolist())
         yield from self._moved(key, new, timerValues.getCurrentWatermarkInMs())
@@ -106,7 +109,7 @@ class Funnel(StatefulProcessor):
         if ended:
             yield pd.DataFrame(
                 {
-                    self.key: [key[0]] * len(ended),
+                    "key": [key[0]] * len(ended),
                     "times": [a.times for a in ended],
                     "n_events": [a.n_events for a in ended],
                 }
@@ -127,19 +130,22 @@ def funnel(
     other kinds included. A key's events are worked on in order by one task, which
     holds those of the last `delay` and no more.
     """
+    # The grouping key is a string that is never null: in pandas a null among whole
+    # numbers makes them floating-point numbers, and other keys are no longer found.
+    none = F.col(key).isNull()
     kept = stream.withWatermark(time, delay).select(
-        F.col(key),
-        F.col(time),
+        F.when(none, _NO_KEY).otherwise(F.concat(F.lit(_KEY), F.col(key).cast("string"))).alias("key"),
+        F.col(time).alias("at"),
         F.unix_micros(time).alias("time"),
         F.col(number).cast("bigint").alias("number"),
         F.col(kind).cast("string").alias("kind"),
     )
-    kind_of_key = stream.schema[key].dataType.simpleString()
-    found = kept.where(F.col(time).isNotNull()).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Funnel(key, steps, limit * 1_000_000),
-        outputStructType=f"`{key}` {kind_of_key}, times array<bigint>, n_events bigint",
+    found = kept.where(F.col("at").isNotNull()).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Funnel(steps, limit * 1_000_000),
+        outputStructType="key string, times array<bigint>, n_events bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
+    own = F.expr(f"substring(key, {len(_KEY) + 1})").cast(stream.schema[key].dataType)
     reached_at = F.transform("times", F.timestamp_micros)
-    return found.where(F.col(key).isNotNull()).select(key, reached_at.alias("reached_at"), "n_events")
+    return found.select(own.alias(key), reached_at.alias("reached_at"), "n_events")

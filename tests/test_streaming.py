@@ -12,7 +12,8 @@ from millrace.functions.time import zone_free
 from millrace.sources.tables import stream_table
 from millrace.streaming.interval_join import interval_pairs
 from millrace.streaming.repeats import without_repeats
-from millrace.streaming.runner import closable, drained
+from millrace.streaming.funnel import Attempt, advanced, funnel
+from millrace.streaming.runner import LAST_PANDAS_INSTANT, closable, drained
 from millrace.streaming.sessions import session_totals
 from millrace.streaming.windows import tumbling_totals
 
@@ -68,6 +69,69 @@ def test_sessions_in_several_batches(spark, duck, rows, in_files):
     assert rows(result) == duck(sql, in_files)
 
 
+STEPS = ["view", "click", "purchase"]
+FUNNEL = "SELECT user_id, steps, n_events FROM ({})"
+
+
+def attempts(stream, delay):
+    found = funnel(stream, "user_id", "ts", "event_id", "event_type", STEPS, 2 * 86400, delay)
+    return found.select("user_id", F.size("reached_at").alias("steps"), "n_events")
+
+
+def in_disorder(folder, files, key="user_id"):
+    """The events in files, a third of them a file later than the time says, all times in pairs of ties."""
+    rows = f"""SELECT event_id, to_timestamp(epoch(ts) // 3600 * 3600)::TIMESTAMP AS ts, {key} AS user_id,
+               * EXCLUDE (event_id, ts, user_id) FROM '{SOURCE}'"""
+    for number in files:
+        write_file(
+            folder, number,
+            f"SELECT * FROM ({rows}) WHERE least(event_id // 250 + (hash(event_id) % 3 == 0)::INT, {FILES - 1}) = {number}",
+        )
+
+
+@pytest.mark.parametrize("key", ["user_id", "CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE user_id END"])
+def test_funnel_of_late_rows_and_ties(spark, duck, rows, tmp_path, key):
+    in_disorder(tmp_path, range(FILES), key)
+    events, closing = closable(stream_table(spark, str(tmp_path), "events", 1), "ts", LAST_PANDAS_INSTANT)
+    result = drained(attempts(events, "20 days"), "test", closing=closing)
+    assert rows(result) == duck(FUNNEL.format(oracle_sql()["stream_purchase_funnel"]), tmp_path)
+
+
+def test_funnel_goes_on_after_a_restart(spark, duck, rows, tmp_path):
+    path = str(tmp_path / "out")
+    in_disorder(tmp_path, [0, 1])
+    events, closing = closable(stream_table(spark, str(tmp_path), "events", 1), "ts", LAST_PANDAS_INSTANT)
+    found = attempts(events, "20 days")
+    drained(found, "test", path)
+    in_disorder(tmp_path, [2, 3])
+    result = drained(found, "test", path, closing)
+    assert rows(result) == duck(FUNNEL.format(oracle_sql()["stream_purchase_funnel"]), tmp_path)
+
+
+def test_funnel_gives_out_attempts_as_their_time_is_up(spark, tmp_path):
+    """Timers end attempts of users who are silent; rows behind the watermark take no part."""
+    row = "SELECT {} AS event_id, TIMESTAMP '2024-01-{:02} 00:00:00' AS ts, {} AS user_id, '{}' AS event_type, 1.0 AS value, '' AS props"
+    batches = [(1, 1, 7, "view"), (2, 2, 7, "click"), (3, 10, 8, "view"), (4, 3, 7, "purchase"), (5, 20, 8, "error"), (6, 30, 9, "error")]
+    for number, batch in enumerate(batches):
+        write_file(tmp_path, number, row.format(*batch))
+    events = stream_table(spark, str(tmp_path), "events", 1)
+    got = drained(attempts(events, "10 minutes"), "test").collect()
+    assert sorted(map(tuple, got)) == [(7, 2, 2), (8, 1, 1)]
+
+
+def test_steps_of_attempts():
+    day = 86_400_000_000
+    events = [(0, 1, "click"), (1, 2, "view"), (2, 3, "view"), (2, 4, None), (3, 5, "click"), (3, 6, "purchase"), (3, 7, "view")]
+    attempt, ended = advanced(None, events, 3, STEPS, day)
+    assert [(a.times, a.n_events) for a in ended] == [([1, 3, 3], 5)] and attempt.times == [3]
+    attempt, ended = advanced(attempt, [], 3 + day - 2, STEPS, day)
+    assert attempt is not None and not ended
+    attempt, ended = advanced(attempt, [], 3 + day - 1, STEPS, day)
+    assert attempt is None and ended[0].n_events == 1
+    assert advanced(Attempt([0], 1), [(day, 1, "click")], day, STEPS, day)[1][0].times == [0]
+    assert len(advanced(None, [(i, i, "view") for i in range(4)], 9, ["view"], day)[1]) == 4
+
+
 def test_join_across_batches(spark, duck, rows, in_files):
     events = stream_table(spark, str(in_files), "events", 1)
     clicks = events.where("event_type = 'click'").select(
