@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.hyperlinks import ADDRESS, ATTRIBUTE, NAMED, NO_MARKUP, PARTS, TAG
+
 _NET = (
     "(CAST(round(l_extendedprice * 100) AS BIGINT)"
     " * (100 - CAST(round(l_discount * 100) AS BIGINT)))"
@@ -98,6 +100,93 @@ _FUNNEL = """
     FROM taken JOIN attempts USING (user_id, pos)
 """
 
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_DECODED = "value"
+for _name, _sign in NAMED:
+    _DECODED = f"replace({_DECODED}, {_quoted(_name)}, {_quoted(_sign)})"
+
+
+def _parts(address: str) -> str:
+    of = [f"regexp_extract({address}, {_quoted(PARTS)}, {i})" for i in (1, 2, 3, 4)]
+    return f"lower({of[0]}) AS scheme, lower({of[1]}) AS authority, {of[2]} AS path, {of[3]} AS query"
+
+
+def _no_dots(path: str) -> str:
+    segments = f"string_split({path}, '/')[2:]"
+    done = (
+        f"list_reduce({segments}, lambda done, s: CASE s WHEN '.' THEN done"
+        " WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END, '')"
+    )
+    return f"{done} || CASE WHEN {segments}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+
+
+def _host(authority: str) -> str:
+    return f"regexp_replace(regexp_replace({authority}, '^.*@', ''), ':[0-9]*$', '')"
+
+
+def _resolved(columns: str, source: str) -> str:
+    """Addresses seen from b_scheme, b_authority, b_path and b_query; those that lead to a web host."""
+    return f"""
+        SELECT {columns}, r_scheme AS scheme, r_authority AS authority, CASE
+                   WHEN here AND path = '' THEN CASE WHEN b_path = '' THEN '/' ELSE b_path END
+                   WHEN path = '' THEN '/' ELSE {_no_dots("whole")} END AS path,
+               CASE WHEN here AND path = '' AND query = '' THEN b_query ELSE query END AS query
+        FROM (
+            SELECT *, scheme = '' AND authority = '' AS here,
+                   CASE WHEN scheme = '' THEN b_scheme ELSE scheme END AS r_scheme,
+                   CASE WHEN scheme = '' AND authority = '' THEN b_authority ELSE authority END AS r_authority,
+                   CASE WHEN path[1] = '/' THEN path
+                        ELSE coalesce(nullif(regexp_replace(b_path, '[^/]*$', ''), ''), '/') || path END AS whole
+            FROM (SELECT *, {_parts("address")} FROM {source})
+        ) WHERE r_scheme IN ('http', 'https') AND r_authority <> ''
+    """
+
+
+# Addresses are taken apart step by step, one table for each; RE2 reads the patterns.
+_LINKS = f"""
+    WITH tags AS (
+        SELECT row_number() OVER () AS row_id, page_id, trim(coalesce(url, '')) AS url,
+               regexp_extract_all(regexp_replace(coalesce(html, ''), {_quoted(NO_MARKUP)}, '', 'g'),
+                                  {_quoted(TAG)}) AS tags
+        FROM pages
+    ), found AS (
+        SELECT row_id, page_id, url, place, lower(tag[2:5]) = 'base' AS is_base,
+               list_filter(regexp_extract_all(tag, {_quoted(ATTRIBUTE)}),
+                           lambda a: regexp_matches(a, {_quoted(ADDRESS)}))[1] AS own
+        FROM (SELECT row_id, page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM tags)
+    ), addresses AS (
+        SELECT row_id, page_id, url, place, is_base, trim(translate({_DECODED}, chr(9) || chr(10) || chr(13) || chr(12), '')) AS address
+        FROM (SELECT *, regexp_extract(own, {_quoted(ADDRESS)}, 1) || regexp_extract(own, {_quoted(ADDRESS)}, 2)
+                        || regexp_extract(own, {_quoted(ADDRESS)}, 3) AS value
+              FROM found WHERE own IS NOT NULL)
+    ), homes AS (
+        SELECT row_id, {_parts("url")}, scheme IN ('http', 'https') AND authority <> '' AS web FROM tags
+    ), own AS (
+        SELECT row_id, CASE WHEN web THEN scheme ELSE '' END AS b_scheme, CASE WHEN web THEN authority ELSE '' END AS b_authority,
+               CASE WHEN NOT web THEN '' WHEN path = '' THEN '/' ELSE {_no_dots("path")} END AS b_path,
+               CASE WHEN web THEN query ELSE '' END AS b_query
+        FROM homes
+    ), first_base AS (
+        SELECT row_id, arg_min(address, place) AS address FROM addresses WHERE is_base GROUP BY row_id
+    ), moved AS (
+        {_resolved("row_id", "first_base JOIN own USING (row_id)")}
+    ), bases AS (
+        SELECT row_id, coalesce(scheme, b_scheme) AS b_scheme, coalesce(authority, b_authority) AS b_authority,
+               coalesce(path, b_path) AS b_path, CASE WHEN scheme IS NULL THEN b_query ELSE query END AS b_query
+        FROM own LEFT JOIN moved USING (row_id)
+    ), links AS (
+        {_resolved("row_id, page_id, place", "addresses JOIN bases USING (row_id) WHERE NOT is_base")}
+    )
+    SELECT row_id, page_id, place AS tag_place,
+           scheme || '://' || authority || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS target,
+           {_host("authority")} AS to_host, nullif({_host("b_authority")}, '') AS from_host
+    FROM links JOIN (SELECT row_id, b_authority FROM own) USING (row_id)
+"""
+
 EXPECTED = {
     "returned_lines": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
@@ -247,4 +336,12 @@ EXPECTED = {
         FROM ({_SESSION_ROWS}) GROUP BY user_id, session_no
     """,
     "stream_purchase_funnel": _FUNNEL,
+    "links_of_pages": f"""
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY tag_place) AS INT) AS place,
+               target, to_host FROM ({_LINKS})
+    """,
+    "links_between_hosts": f"""
+        SELECT from_host, to_host, count(*) AS n_links, count(DISTINCT row_id) AS n_pages
+        FROM ({_LINKS}) GROUP BY ALL
+    """,
 }

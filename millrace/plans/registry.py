@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import events, star, streams
+from . import events, star, streams, web
 
 QUERIES = {
     query.__name__: query
@@ -34,6 +34,8 @@ QUERIES = {
         events.events_by_hour,
         events.events_by_sliding_hour,
         events.user_sessions,
+        web.links_of_pages,
+        web.links_between_hosts,
         streams.stream_events_by_hour,
         streams.stream_without_repeats,
         streams.stream_purchases_near_clicks,

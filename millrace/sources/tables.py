@@ -35,6 +35,7 @@ SCHEMAS = {
         "event_id bigint, ts timestamp, user_id bigint, event_type string, value double,"
         " props string"
     ),
+    "pages": "page_id bigint, url string, html string",
 }
 
 

@@ -12,7 +12,7 @@ from millrace.plans.registry import QUERIES  # noqa: E402
 from millrace.session import local_session  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
 
 
 
