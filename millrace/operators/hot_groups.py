@@ -54,7 +54,7 @@ def hot_groups(df: DataFrame, keys: list[str], most: int | None = None) -> HotGr
 
     The groups stay in a table, however many there are; only the sum of their
     rows comes to the driver. Returns None when there are none, so that callers
-    can leave the split out of the plan altogether.
+    can leave the split out of the plan altogether; then nothing is written.
     """
     most = most or rows_per_task(df.sparkSession)
     share = min(1.0, SAMPLED_ROWS / most)
@@ -64,9 +64,9 @@ def hot_groups(df: DataFrame, keys: list[str], most: int | None = None) -> HotGr
     estimates = counted.groupBy(*keys).agg(
         F.round(F.count(F.lit(1)) / share).cast("bigint").alias(GROUP_ROWS)
     )
-    listed = write_once(estimates.where(F.col(GROUP_ROWS) > most), "hot-groups")
+    listed = estimates.where(F.col(GROUP_ROWS) > most)
     rows = listed.agg(F.sum(GROUP_ROWS)).first()[0]
-    return None if rows is None else HotGroups(listed, rows)
+    return None if rows is None else HotGroups(write_once(listed, "hot-groups"), rows)
 
 
 def rows_in(df: DataFrame, hot: HotGroups, keys: list[str]) -> DataFrame:

@@ -62,17 +62,25 @@ def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
 def _written_out(
     left: DataFrame, right: DataFrame, copies: Column, copies_per_piece: int
 ) -> DataFrame:
-    """Each distinct row as often as `copies` says; a row with very many copies
-    is written out by several tasks."""
+    """Each distinct row as often as `copies` says.
+
+    Rows are written out where the aggregation left them. Only those with more copies
+    than a piece holds travel once more, so that several tasks write them out.
+    """
     copied = (
         _counted(left, right).select(*left.columns, copies.alias("copies")).where("copies > 0")
     )
     size = F.lit(copies_per_piece).cast("bigint")
-    first, last = F.lit(0).cast("bigint"), F.col("copies") - 1
-    pieces = copied.select(
-        *left.columns, "copies", F.explode(F.sequence(first, last, size)).alias(_PIECE)
+    one, last = F.lit(1).cast("bigint"), F.col("copies") - 1
+    few = copied.where(F.col("copies") <= size).select(
+        *left.columns, F.explode(F.sequence(one, F.col("copies"))).alias("copy")
+    )
+    many = copied.where(F.col("copies") > size)
+    pieces = many.select(
+        *left.columns, "copies", F.explode(F.sequence(one - one, last, size)).alias(_PIECE)
     ).repartition(*left.columns, _PIECE)
     end_of_piece = F.least(F.col(_PIECE) + size - 1, last)
-    return pieces.select(
+    many = pieces.select(
         *left.columns, F.explode(F.sequence(F.col(_PIECE), end_of_piece)).alias("copy")
-    ).drop("copy")
+    )
+    return few.unionByName(many).drop("copy")

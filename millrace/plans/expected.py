@@ -266,7 +266,7 @@ EXPECTED = {
         FROM events GROUP BY ALL
     """,
     "users_approximately": """
-        SELECT event_type, count(DISTINCT user_id) AS n_users, true AS estimate_is_near
+        SELECT event_type, count(DISTINCT user_id) AS n_users
         FROM events GROUP BY ALL
     """,
     "running_value": _running("ROWS UNBOUNDED PRECEDING"),
@@ -344,4 +344,19 @@ EXPECTED = {
         SELECT from_host, to_host, count(*) AS n_links, count(DISTINCT row_id) AS n_pages
         FROM ({_LINKS}) GROUP BY ALL
     """,
+    "frequent_kinds_of_events": """
+        SELECT event_type, props, count(*) AS n_events FROM events GROUP BY ALL
+        HAVING count(*) * 1000 >= 2 * (SELECT count(*) FROM events)
+    """,
+    "order_price_quantiles": """
+        WITH ranked AS (
+            SELECT o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+                   count(*) OVER (PARTITION BY o_orderpriority) AS n_rows,
+                   row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS place
+            FROM orders WHERE o_totalprice IS NOT NULL
+        )
+        SELECT o_orderpriority, CAST(k AS INT) AS thousandth, n_rows, cents
+        FROM ranked, unnest([0, 10, 250, 500, 750, 990, 1000]) AS t(k)
+        WHERE place = greatest(1, (n_rows * k + 999) // 1000)
+    """,
 }

@@ -21,8 +21,10 @@ QUERIES = {
         star.buyers_first_year_only,
         star.repeated_buying,
         star.dropped_buying,
+        star.order_price_quantiles,
         events.users_per_day,
         events.users_approximately,
+        events.frequent_kinds_of_events,
         events.running_value,
         events.moving_value_by_rows,
         events.moving_value_by_time,

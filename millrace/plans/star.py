@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.exact import merge_parts, scaled, sum_parts, total
 from ..operators.grouping import LEVEL, cube_totals, grouping_set_totals, rollup_totals
 from ..operators.matching import having_match, lacking_match, with_match_totals
+from ..operators.quantiles import quantiles
 from ..operators.ranking import top_per_group
 from ..operators.sets import bag_except, bag_intersect, set_except, set_intersect, set_union
 from ..sources.tables import in_years, read_table
@@ -182,3 +183,10 @@ def repeated_buying(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dropped_buying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buyer and priority pairs, as often as 1996 has more of them than 1997."""
     return bag_except(_buyers(spark, sf_dir, 1996), _buyers(spark, sf_dir, 1997))
+
+
+def order_price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices at given ranks among the orders of each priority, exactly."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderpriority", scaled("o_totalprice").alias("cents"))
+    found = quantiles(orders, ["o_orderpriority"], "cents", [0, 10, 250, 500, 750, 990, 1000])
+    return found.withColumnRenamed("value", "cents")

@@ -5,11 +5,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__
 from __spark_entry__ import entry
 from conftest import TESTDATA, oracle_sql, queries
+from millrace.plans.events import users_approximately
 
 SMALL, LARGER = TESTDATA / "sf0.001", TESTDATA / "sf0.01"
 
@@ -53,3 +55,18 @@ def test_entry_points_work_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; print(*sorted(e.queries()), len(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split() == [*sorted(queries()), str(len(oracle_sql()))], said.stderr
+
+
+def test_merged_sketches_of_many_users(spark, duck, rows, tmp_path):
+    """Beyond the size at which sketches are exact they are right to 3 %, null users counted as none."""
+    folder = tmp_path / "events.parquet"
+    duckdb.sql(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 9) DAY AS ts,
+                  CASE WHEN i % 3 = 0 THEN 1 WHEN i % 3 = 1 THEN i // 2 END AS user_id,
+                  CASE i % 2 WHEN 0 THEN 'view' WHEN 1 THEN NULL END AS event_type, 1.0 AS value, '' AS props
+                  FROM range(200000) t(i)) TO '{folder}'"""
+    )
+    got = dict(users_approximately(spark, str(tmp_path)).collect())
+    columns, exact = duck(oracle_sql()["users_approximately"], tmp_path)
+    want = {row[columns.index("event_type")]: row[columns.index("n_users")] for row in exact}
+    assert got.keys() == want.keys() and all(abs(got[k] - n) <= 0.03 * n for k, n in want.items())
