@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import write_once
 from .hot_groups import same_keys
 
 # Spark's own bound for the list of candidates.
@@ -25,11 +26,9 @@ def frequent_keys(df: DataFrame, keys: list[str], share: float, count: str = "n_
     one = df.select(F.struct(*keys).alias("key"))
     # Half the share, so that a key of exactly the share is on the list.
     found = one.freqItems(["key"], share / 2).select(F.explode("key_freqItems").alias("key"))
-    candidates = found.select("key.*").distinct()
+    candidates = write_once(found.select("key.*"), "candidates")
     # At most two over the share rows.
     listed = df.select(*keys).join(F.broadcast(candidates), same_keys(df, candidates, keys), "left_semi")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.count()  # one number, for files of columns from their footers
     counted = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
-    # One row, beside at most as many as there are candidates.
-    enough = F.col(count) * 1_000_000 >= F.col("total") * millionths
-    return counted.join(F.broadcast(total), enough).select(*keys, count)
+    return counted.where(F.col(count) * 1_000_000 >= F.lit(total * millionths))
