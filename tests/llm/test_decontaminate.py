@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from millrace.llm import decontaminate
 from millrace.llm.decontaminate import contamination, decontaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -75,6 +76,19 @@ def test_nulls_repeats_and_long_texts(frame):
         assert rows_of(contamination(documents, benchmark, pass_bytes=size)) == brute(rows, items)
 
 
+def test_a_benchmark_text_that_repeats_is_sent_once(frame):
+    """However many items have one text, what is collected are its distinct windows, by passes of bounded size."""
+    ten = "one two three four five six seven eight nine ten eleven"
+    items = [(i, ten) for i in range(600)] + [(1000 + i, f"only here {i} " + ten) for i in range(30)]
+    documents, benchmark = tables(frame, [(1, ten), (2, "only here 7 " + ten), (3, "none")] + [(4, ten)] * 90, items)
+    windows, owners = decontaminate._windows(benchmark, "item_id", "text", 10)
+    assert windows.count() == len({w for _, t in items for w, _ in decontaminate.windows_of(t)})
+    sizes = [len(b.value.text) for b in decontaminate._passes(windows, 10, 500)]
+    assert len(sizes) >= 5 and max(sizes) <= 40 and sum(sizes) == windows.count()
+    got = {r.id: (r.n_hit, len(r.items)) for r in contamination(documents, benchmark, pass_bytes=500).collect()}
+    assert got == {1: (11, 630), 2: (14, 630), 3: (0, 0), 4: (11, 630)}
+
+
 def test_empty_tables(frame):
     documents, benchmark = tables(frame, [(1, "a b")], [])
     assert rows_of(contamination(documents, benchmark)) == [(1, 2, 0, [])]

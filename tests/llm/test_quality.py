@@ -40,6 +40,62 @@ def test_pairs_learn_what_single_tables_cannot():
     assert (2, 7) in [(i, j) for i, j, _ in model.pairs]
 
 
+def slow_fit(x, y):
+    """The single tables by the definition: trees of four leaves on the slopes, bin by bin, row by row."""
+    n, width = x.shape
+    start = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, quality.BINS + 1)[1:-1])).astype(np.float32) for i in range(width)]
+    bins = [[sum(e <= v for e in edges[i]) for v in x[:, i]] for i in range(width)]
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+
+    def total(r):
+        return start + sum(tables[i][bins[i][r]] for i in range(width))
+
+    def gain(rows, g, h):
+        return sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + 1)
+
+    for _ in range(quality.ROUNDS):
+        for i in range(width):
+            p = [1 / (1 + np.exp(-total(r))) for r in range(n)]
+            g, h = [y[r] - p[r] for r in range(n)], [p[r] * (1 - p[r]) for r in range(n)]
+            leaves = [(0, len(tables[i]))]
+            for _ in range(3):
+                best = (0.0, None)
+                for a, b in leaves:
+                    inside = [r for r in range(n) if a <= bins[i][r] < b]
+                    for cut in range(a + 1, b):
+                        low = [r for r in inside if bins[i][r] < cut]
+                        high = [r for r in inside if bins[i][r] >= cut]
+                        if min(len(low), len(high)) >= quality.LEAST:
+                            found = gain(low, g, h) + gain(high, g, h) - gain(inside, g, h)
+                            if found > best[0] + 1e-9:
+                                best = (found, (a, cut, b))
+                if best[1] is None:
+                    break
+                a, cut, b = best[1]
+                leaves.remove((a, b))
+                leaves += [(a, cut), (cut, b)]
+            for a, b in leaves:
+                inside = [r for r in range(n) if a <= bins[i][r] < b]
+                step = quality.RATE * sum(g[r] for r in inside) / (sum(h[r] for r in inside) + 1)
+                for k in range(a, b):
+                    tables[i][k] += step
+    return start, tables
+
+
+def test_single_tables_like_a_slow_fit(monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", FEATURES[:2])
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(70, 2)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * draw.normal(size=70) > 0).astype(float)
+    start, tables = slow_fit(x, y)
+    model = fit(x, y)
+    assert np.isclose(model.start, start) and not model.pairs
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))
+
+
 def test_score_is_the_sum_of_table_entries():
     rng = np.random.default_rng(6)
     x = rng.uniform(size=(300, len(FEATURES))).astype(np.float32)
