@@ -9,6 +9,7 @@ from ..functions.time import utc_day, zone_free
 from ..operators.asof import asof_join
 from ..operators.frequent import frequent_keys
 from ..operators.intervals import interval_pairs, interval_totals
+from ..operators.json_shapes import kinds_by_path
 from ..operators.moving import moving_totals_by_rows, moving_totals_by_time
 from ..operators.running import running_totals
 from ..operators.time_windows import session_totals, sliding_totals, tumbling_totals
@@ -138,6 +139,11 @@ def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kinds_of_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and kinds of all properties, found without knowing them."""
+    return kinds_by_path(_events(spark, sf_dir), "props")
+
+
 def purchases_near_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a click and a purchase by the same user within the hour after it."""
     result = interval_pairs(

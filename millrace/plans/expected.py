@@ -359,4 +359,18 @@ EXPECTED = {
         FROM ranked, unnest([0, 10, 250, 500, 750, 990, 1000]) AS t(k)
         WHERE place = greatest(1, (n_rows * k + 999) // 1000)
     """,
+    "kinds_of_properties": """
+        WITH found AS (
+            SELECT '$' AS path, json_type(props) AS kind FROM events WHERE json_valid(props)
+            UNION ALL
+            SELECT '$.' || name, json_type(props, '$."' || name || '"')
+            FROM events, unnest(json_keys(props)) AS t(name) WHERE json_valid(props)
+            UNION ALL
+            SELECT '$', 'malformed' FROM events WHERE NOT json_valid(props)
+        )
+        SELECT path, CASE WHEN kind IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number'
+                          WHEN kind = 'VARCHAR' THEN 'string' ELSE lower(kind) END AS kind,
+               count(*) AS n_rows
+        FROM found GROUP BY ALL
+    """,
 }

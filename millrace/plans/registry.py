@@ -30,6 +30,7 @@ QUERIES = {
         events.moving_value_by_time,
         events.events_by_day_pivoted,
         events.totals_by_property,
+        events.kinds_of_properties,
         events.purchases_near_clicks,
         events.purchases_around_clicks,
         events.last_click_before_purchase,

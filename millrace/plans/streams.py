@@ -61,7 +61,7 @@ def stream_purchases_near_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = interval_pairs(
         clicks, purchases, ["user_id"], "click_at", "purchased_at", "click_id",
-        before=0, after=HOUR, left_delay=DELAY, right_delay=DELAY,
+        before=0, after=HOUR, left_delay=DELAY, right_delay=DELAY, salts=4,
     )
     return with_zone_free(drained(pairs, "purchases-near-clicks"), "click_at", "purchased_at")
 
