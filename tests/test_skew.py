@@ -34,13 +34,19 @@ LINEITEM = """
                       CASE l_linenumber % 3 WHEN 0 THEN 1 ELSE l_partkey END AS l_partkey)
     FROM '{source}/lineitem.parquet'
 """
+# A third of the pages are on one host, and another third have no address.
+PAGES = """
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://hot.example/dir/' || page_id WHEN 1 THEN url END AS url,
+           html || '<a href="//hot.example/up/../x?' || page_id % 2 || '">x</a>' AS html
+    FROM '{source}/pages.parquet'
+"""
 
 
 @pytest.fixture(scope="session")
 def skewed(tmp_path_factory):
     folder = tmp_path_factory.mktemp("skewed")
     source = TESTDATA / "sf0.001"
-    changed = {"events": EVENTS, "orders": ORDERS, "lineitem": LINEITEM}
+    changed = {"events": EVENTS, "orders": ORDERS, "lineitem": LINEITEM, "pages": PAGES}
     for table in ("region", "nation", "customer", "supplier", "part", *changed):
         sql = changed.get(table, "SELECT * FROM '{source}/" + table + ".parquet'")
         duckdb.sql(f"COPY ({sql.format(source=source)}) TO '{folder}/{table}.parquet'")
