@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,6 +36,8 @@ CONTROLS = (
 )
 _RAW = re.compile("|".join(rf"{re.escape(c[0])}\\*{re.escape(c[1:])}" for c in CONTROLS))
 _ESCAPED = re.compile("|".join(rf"{re.escape(c[0])}\\+{re.escape(c[1:])}" for c in CONTROLS))
+# Turns of up to so many characters are kept as rendered, as each prefix has those before it again.
+KEPT, KEPT_CHARS = 4096, 2048
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 
 
@@ -55,9 +58,16 @@ def _role_back(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _marked(role: str, text: str) -> str:
+    return f"<|im_start|>{_role(role)}\n{escape(text)}<|im_end|>\n"
+
+
+_kept = lru_cache(KEPT)(_marked)
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The template: each turn between marks, control strings in it escaped."""
-    return "".join(f"<|im_start|>{_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns)
+    return "".join((_kept if len(r) + len(t) <= KEPT_CHARS else _marked)(r, t) for r, t in turns)
 
 
 def turns_of(text: str) -> list[Turn]:

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from millrace.llm import chat
 from millrace.llm.expected import EXPECTED
 from millrace.llm.queries import QUERIES
 
@@ -40,6 +41,14 @@ def documents():
     return {r[0]: r[1:] for r in sql("SELECT doc_id, text, lang FROM documents")[1].itertuples(index=False)}
 
 
+def test_chat_renders_all_prefixes(spark, monkeypatch):
+    """The query makes no promise for its template."""
+    asked, formatted = [], chat.formatted
+    monkeypatch.setattr(chat, "formatted", lambda rows, **more: asked.append(more) or formatted(rows, **more))
+    assert QUERIES["op2_chat"](spark, FOLDER).count() > 1
+    assert len(asked) == 1 and asked[0].get("context") is None
+
+
 def test_language(spark):
     docs, got = documents(), QUERIES["op1_language"](spark, FOLDER).toPandas()
     assert sorted(got.doc_id) == sorted(docs)
