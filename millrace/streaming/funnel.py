@@ -6,22 +6,39 @@ attempt ends with the last step or when its time is up. The next first step afte
 that begins another. What counts depends on the order of events and on where the
 attempt before ended, which windows and sessions cannot say.
 
-Events arrive in any order within the watermark's delay. A key's state holds the
-events that may still be preceded by others, in a list, and the open attempt. A
-timer at the earliest time at which anything can be decided wakes the key, so
-attempts end without further events of the key.
+Events arrive in any order within the watermark's delay. Keys are dealt by their hash
+into a fixed number of groups, and a group's keys are worked on together: every call
+of a group and every access to its state costs about as much as a hundred events, so
+with a group for each key these calls, and not the events, set the time. A group's
+state holds the events that may still be preceded by others, in a list of parts, and
+the open attempts. A timer at the earliest time at which anything can be decided wakes
+the group, so attempts end without further events of their keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_KEY, _NO_KEY = "k", "n"
-Event = tuple[int, int, str]  # time in microseconds, a number that orders equal times, kind
+GROUPS = 1024
+# Events in one entry of the list, and in Python objects at a time.
+PART = 10_000
+LAST_NUMBER = 2**63 - 1
+Event = tuple[int, int, int]  # time in microseconds, a number that orders equal times, kind
+
+_EVENTS = pa.schema(
+    [("key", pa.large_string()), ("time", pa.int64()), ("number", pa.int64()), ("kind", pa.int32())]
+)
+_OPEN = pa.schema(
+    [("key", pa.large_string()), ("times", pa.list_(pa.int64())), ("n_events", pa.int64())]
+)
 
 
 class Attempt:
@@ -32,7 +49,7 @@ class Attempt:
 
 
 def advanced(
-    attempt: Attempt | None, events: list[Event], upto: int, steps: list[str], limit: int
+    attempt: Attempt | None, events: Iterable[Event], upto: int, steps: list, limit: int
 ) -> tuple[Attempt | None, list[Attempt]]:
     """The open attempt and those that have ended, once no event up to `upto` can still come.
 
@@ -61,46 +78,71 @@ def advanced(
     return attempt, ended
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _rows(events: pa.Table) -> Iterator[tuple]:
+    for start in range(0, events.num_rows, PART):
+        part = events.slice(start, PART).to_pandas()
+        yield from zip(*(part[name].tolist() for name in part.columns))
+
+
 class Funnel(StatefulProcessor):
-    """Gives out each attempt of a key when it has ended."""
+    """Gives out each attempt of a group's keys when it has ended. Kinds and steps are numbers."""
 
-    def __init__(self, steps: list[str], limit: int):
+    def __init__(self, steps: list[int], limit: int):
         self.steps, self.limit = steps, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "time bigint, number bigint, kind string")
-        self.open = handle.getValueState("open", "times array<bigint>, n_events bigint")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.open = handle.getValueState("open", "attempts binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: list[Event] = []
-        if key[0] == _NO_KEY:
-            return
+        new = []
         for frame in rows:
-            new += zip(frame["time"].tolist(), frame["number"].tolist(), frame["kind"].tolist())
-        yield from self._moved(key, new, timerValues.getCurrentWatermarkInMs())
+            frame = frame.loc[frame["key"].notna(), _EVENTS.names]
+            new.append(pa.Table.from_pandas(frame, _EVENTS, preserve_index=False))
+        yield from self._moved(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._moved(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._moved([], timerValues.getCurrentWatermarkInMs())
 
-    def _moved(self, key, new: list[Event], watermark: int) -> Iterator[pd.DataFrame]:
+    def _moved(self, new: list[pa.Table], watermark: int) -> Iterator[pd.DataFrame]:
         upto = watermark * 1000
-        events = sorted([*map(tuple, self.waiting.get()), *new], key=lambda e: (e[0], e[1], e[2] or ""))
-        ready = [e for e in events if e[0] <= upto]
-        rest = events[len(ready) :]
-        held = self.open.get() if self.open.exists() else None
-        attempt = Attempt(list(held[0]), held[1]) if held else None
-        attempt, ended = advanced(attempt, ready, upto, self.steps, self.limit)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if attempt is not None:
-            self.open.update((attempt.times, attempt.n_events))
+        waiting = [_unpacked(data) for (data,) in self.waiting.get()]
+        events = pa.concat_tables([_EVENTS.empty_table(), *waiting, *new])
+        in_time = pc.less_equal(events["time"], upto)
+        ready, rest = events.filter(in_time), events.filter(pc.invert(in_time))
+        attempts = self._held()
+        ended: list[tuple[str, Attempt]] = []
+        ready = ready.sort_by([(name, "ascending") for name in _EVENTS.names])
+        still = {}
+        for own, of_key in groupby(_rows(ready), key=itemgetter(0)):
+            moved = (event[1:] for event in of_key)
+            self._advance(own, attempts.pop(own, None), moved, upto, still, ended)
+        for own, attempt in attempts.items():
+            self._advance(own, attempt, [], upto, still, ended)
+        if ready.num_rows or new:
+            self._wait(rest)
+        if still:
+            held = pa.table(
+                [[*still], [a.times for a in still.values()], [a.n_events for a in still.values()]],
+                schema=_OPEN,
+            )
+            self.open.update((_packed(held),))
         else:
             self.open.clear()
-        due = [rest[0][0]] if rest else []
-        due += [attempt.times[0] + self.limit] if attempt is not None else []
+        due = [pc.min(rest["time"]).as_py()] if rest.num_rows else []
+        due += [attempt.times[0] + self.limit for attempt in still.values()]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if due:
@@ -109,18 +151,51 @@ class Funnel(StatefulProcessor):
         if ended:
             yield pd.DataFrame(
                 {
-                    "key": [key[0]] * len(ended),
-                    "times": [a.times for a in ended],
-                    "n_events": [a.n_events for a in ended],
+                    "key": [own for own, _ in ended],
+                    "times": [a.times for _, a in ended],
+                    "n_events": [a.n_events for _, a in ended],
                 }
             )
 
+    def _advance(
+        self, own: str, attempt: Attempt | None, events: Iterable[Event], upto: int,
+        still: dict[str, Attempt], ended: list[tuple[str, Attempt]],
+    ) -> None:
+        attempt, done = advanced(attempt, events, upto, self.steps, self.limit)
+        ended += [(own, a) for a in done]
+        if attempt is not None:
+            still[own] = attempt
+
+    def _held(self) -> dict[str, Attempt]:
+        if not self.open.exists():
+            return {}
+        held = _unpacked(self.open.get()[0])
+        return {own: Attempt(times, n) for own, times, n in zip(*(c.to_pylist() for c in held.columns))}
+
+    def _wait(self, events: pa.Table) -> None:
+        self.waiting.clear()
+        for start in range(0, events.num_rows, PART):
+            self.waiting.appendValue((_packed(events.slice(start, PART)),))
+
     def close(self) -> None:
         pass
 
 
+def _numbered(kind: Column, steps: list[str]) -> tuple[Column, list[int]]:
+    """Kinds as numbers in the same order, and the steps' own.
+
+    Odd numbers are steps. Kinds between the same two steps share a number, and null comes first.
+    """
+    numbers = {step: 2 * i + 1 for i, step in enumerate(sorted(set(steps)))}
+    number = F.when(kind.isNull(), 0)
+    for step, odd in numbers.items():
+        number = number.when(kind < step, odd - 1).when(kind == step, odd)
+    return number.otherwise(2 * len(numbers)).cast("int"), [numbers[step] for step in steps]
+
+
 def funnel(
-    stream: DataFrame, key: str, time: str, number: str, kind: str, steps: list[str], limit: int, delay: str
+    stream: DataFrame, key: str, time: str, number: str, kind: str, steps: list[str], limit: int, delay: str,
+    groups: int | None = None,
 ) -> DataFrame:
     """key, reached_at (array of instants, one for each step reached), n_events: one row per attempt.
 
@@ -128,24 +203,27 @@ def funnel(
     Rows without key or time take no part, nor do those later than the watermark.
     `n_events` counts the key's events from the first step to the end, those of
     other kinds included. A key's events are worked on in order by one task, which
-    holds those of the last `delay` and no more.
+    holds those of the last `delay` of a group's keys and no more. Each batch rewrites
+    the state of the groups it reaches, so `groups` (GROUPS, unless given) should leave
+    a group what a task can hold; a stream goes on only with the number it began with.
     """
-    # The grouping key is a string that is never null: in pandas a null among whole
-    # numbers makes them floating-point numbers, and other keys are no longer found.
-    none = F.col(key).isNull()
+    kinds, own_steps = _numbered(F.col(kind).cast("string"), steps)
+    own = F.col(key).cast("string")
     kept = stream.withWatermark(time, delay).select(
-        F.when(none, _NO_KEY).otherwise(F.concat(F.lit(_KEY), F.col(key).cast("string"))).alias("key"),
+        F.pmod(F.xxhash64(own), F.lit(groups or GROUPS)).cast("int").alias("group"),
+        own.alias("key"),
         F.col(time).alias("at"),
         F.unix_micros(time).alias("time"),
-        F.col(number).cast("bigint").alias("number"),
-        F.col(kind).cast("string").alias("kind"),
+        # In pandas a null among whole numbers makes them floating-point numbers.
+        F.coalesce(F.col(number).cast("bigint"), F.lit(LAST_NUMBER)).alias("number"),
+        kinds.alias("kind"),
     )
-    found = kept.where(F.col("at").isNotNull()).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Funnel(steps, limit * 1_000_000),
+    found = kept.where(F.col("at").isNotNull()).groupBy("group").transformWithStateInPandas(
+        statefulProcessor=Funnel(own_steps, limit * 1_000_000),
         outputStructType="key string, times array<bigint>, n_events bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
-    own = F.expr(f"substring(key, {len(_KEY) + 1})").cast(stream.schema[key].dataType)
     reached_at = F.transform("times", F.timestamp_micros)
-    return found.select(own.alias(key), reached_at.alias("reached_at"), "n_events")
+    given = F.col("key").cast(stream.schema[key].dataType)
+    return found.select(given.alias(key), reached_at.alias("reached_at"), "n_events")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from conftest import TESTDATA, oracle_sql, queries
 from millrace.functions.exact import scaled
 from millrace.functions.time import zone_free
+from millrace.session import using_settings
 from millrace.sources.tables import stream_table
 from millrace.streaming.interval_join import interval_pairs
 from millrace.streaming.repeats import without_repeats
-from millrace.streaming.funnel import Attempt, advanced, funnel
-from millrace.streaming.runner import LAST_PANDAS_INSTANT, closable, drained
+from millrace.streaming.funnel import GROUPS, Attempt, advanced, funnel
+from millrace.streaming.runner import LAST_PANDAS_INSTANT, STATE_SETTINGS, closable, drained
 from millrace.streaming.sessions import session_totals
 from millrace.streaming.windows import tumbling_totals
 
@@ -119,6 +120,41 @@ def test_funnel_gives_out_attempts_as_their_time_is_up(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(7, 2, 2), (8, 1, 1)]
 
 
+def test_funnel_state_grows_with_groups_and_not_with_keys(spark, tmp_path):
+    """Every access to state costs much, so keys share them; a key of many events has them in parts."""
+    write_file(
+        tmp_path, 0,
+        """SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts,
+                  CASE WHEN i < 8000 THEN i // 2 ELSE -1 END AS user_id,
+                  CASE WHEN i >= 8000 OR i % 2 = 0 THEN 'view' ELSE 'click' END AS event_type,
+                  1.0 AS value, '' AS props
+           FROM range(33000) t(i)""",
+    )
+    events, closing = closable(stream_table(spark, str(tmp_path), "events", 1), "ts", LAST_PANDAS_INSTANT)
+    found = attempts(events, "1 day")
+    with using_settings(spark, STATE_SETTINGS):
+        query = (
+            found.writeStream.format("noop").trigger(availableNow=True)
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+        )
+        query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Of each group a list and the open attempts; there are 4001 keys.
+    assert 0 < max(kept) <= 2 * GROUPS
+    got = sorted(map(tuple, drained(found, "test", closing=closing).collect()))
+    assert got == [(-1, 1, 25000), *((user, 2, 2) for user in range(4000))]
+
+
+def test_funnel_orders_equal_numbers_by_kind(spark, tmp_path):
+    kinds = ["view", "click", "signup", "purchase", "error", None]
+    row = "SELECT {} AS event_id, TIMESTAMP '2024-01-01 00:00:{:02}' AS ts, 7 AS user_id, {} AS event_type, 1.0 AS value, '' AS props"
+    quoted = [f"'{kind}'" if kind else "NULL" for kind in kinds]
+    write_file(tmp_path, 0, " UNION ALL ".join(row.format(min(i, 2), min(i, 2), k) for i, k in enumerate(quoted)))
+    events, closing = closable(stream_table(spark, str(tmp_path), "events", 1), "ts", LAST_PANDAS_INSTANT)
+    # The events before the purchase, which ends the attempt, are null and `error`.
+    assert [tuple(r) for r in drained(attempts(events, "1 day"), "test", closing=closing).collect()] == [(7, 3, 5)]
+
+
 def test_steps_of_attempts():
     day = 86_400_000_000
     events = [(0, 1, "click"), (1, 2, "view"), (2, 3, "view"), (2, 4, None), (3, 5, "click"), (3, 6, "purchase"), (3, 7, "view")]
