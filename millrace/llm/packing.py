@@ -35,8 +35,9 @@ from millrace.llm.common import arrow_batches, keyed, text_slices, write_once
 CAPACITY = 2048
 WASTE = 8
 END_ID = 1
-# Entries a task keeps of words it has encoded; it then starts anew.
-KNOWN_WORDS = 600_000
+# Entries a task keeps of words it has encoded; beyond that it goes back to those it
+# met first, which are the commonest. So do the next tasks of its process.
+KNOWN_WORDS = 300_000
 KEPT_WORDS = 150_000
 # Fixed value: how a byte-level tokenizer cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,8 +45,10 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 # mean the same; its expressions are faster.
 _PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _ODD = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\x00-\u024f]")
-# New words are encoded so many in one text, where they part again.
+# New words are encoded so many in one text, where they part again, and so many at
+# once, as what the tokenizer returns takes some hundred bytes a token.
 _TOGETHER = 256
+_AT_ONCE = 4096
 
 
 def cuts(length: int, capacity: int = CAPACITY, waste: int = WASTE) -> list[int]:
@@ -89,6 +92,10 @@ class Encoder:
         return [_packed_ids(x.ids) for x in found]
 
     def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), _AT_ONCE):
+            self._learn_some(words[i : i + _AT_ONCE])
+
+    def _learn_some(self, words: list[str]) -> None:
         # A space before something else always begins a word, so such words can
         # stand in one text.
         spaced = [w for w in words if w[0] == " " and not w.isspace()]
@@ -111,9 +118,13 @@ class Encoder:
         self._learn(list(set(chain.from_iterable(lists)).difference(self.known)))
         ids = [b"".join(map(self.known.__getitem__, x)) for x in lists]
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+            self.forget()
         return ids
 
+    def forget(self) -> None:
+        """Keeps only the words met first."""
+        self.known = dict(islice(self.known.items(), KEPT_WORDS))
+
 
 def _is_odd(text: str) -> bool:
     if text.isascii():
@@ -143,7 +154,7 @@ def _encoder(spec) -> Encoder:
 def _all_ids(encode: Encoder, texts: list):
     """Ids of each text, encoded some texts at a time."""
     texts = [t or "" for t in texts]
-    for a, b in text_slices(texts, 4 << 20):
+    for a, b in text_slices(texts):
         yield from encode(texts[a:b])
 
 
@@ -177,9 +188,9 @@ def pieces(rows: DataFrame, tokenizer_path: str, capacity: int, waste: int) -> D
                 [ids, *(pa.array(values[:, i]) for i in range(len(names))), tasks],
                 ["id", *names, "task"],
             )
-        # The process lives on, for tasks of other stages too: it keeps the words it
-        # met first, which are the commonest.
-        encode.known = dict(islice(encode.known.items(), KEPT_WORDS))
+        # The process lives on, for tasks of other stages too.
+        encode.forget()
+        pa.default_memory_pool().release_unused()
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in [*names, "task"])

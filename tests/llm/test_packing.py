@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from millrace.llm import packing
 from millrace.llm.packing import Encoder, cuts, packed_sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,3 +87,36 @@ def test_encoder_is_the_tokenizer(rng, tokenizer):
     for _ in range(2):
         for found, text in zip(want, encode(texts)):
             assert np.array(found.ids, "<u4").tobytes() == text
+
+
+class Counting:
+    """A tokenizer that notes how many signs it gets at once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.most = tokenizer, 0
+
+    def __getattr__(self, name):
+        def called(texts, **options):
+            self.most = max(self.most, sum(map(len, texts)))
+            return getattr(self.tokenizer, name)(texts, **options)
+
+        return called
+
+
+def test_encoder_holds_a_bounded_number_of_words(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 5_000)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 1_000)
+    with open(PATH, encoding="utf-8") as file:
+        encode = Encoder(file.read())
+    encode.tokenizer = counting = Counting(encode.tokenizer)
+    # Words that differ, after a space and after other signs.
+    first = " ".join(f"a{i}" for i in range(500))
+    many = [first, *(" ".join(f"w{i}:x{i}" for i in range(a, a + 4_000)) for a in range(0, 40_000, 4_000))]
+    want = tokenizer.encode_batch(many, add_special_tokens=False)
+    want = [np.array(x.ids, "<u4").tobytes() for x in want]
+    assert encode(many) == want
+    assert counting.most <= 50_000
+    assert len(encode.known) == 1_000
+    kept = list(encode.known)
+    assert [encode([t])[0] for t in many] == want
+    assert len(encode.known) <= 5_000 and list(encode.known)[:1_000] == kept
