@@ -6,7 +6,16 @@ import numpy as np
 import pytest
 
 from millrace.llm import similar
-from millrace.llm.similar import bits_apart, candidates, class_cells, deduplicated, long_fingerprints, shingle_sets, similar_links
+from millrace.llm.similar import (
+    bits_apart,
+    candidates,
+    class_cells,
+    deduplicated,
+    left_out,
+    long_fingerprints,
+    shingle_sets,
+    similar_links,
+)
 
 
 def jaccard(a, b):
@@ -164,6 +173,76 @@ def test_only_near_texts_are_compared_and_pairs_do_not_grow_with_the_square(fram
     assert 0 < sum(compared) < 150 * 64
 
 
+def links_in_one_cell(frame, spark, texts, k=similar.CLASSES - 1):
+    """Links of texts that share one cell, of the last class, and no other."""
+    reps = spark.createDataFrame([(i, [(k, 7)]) for i in range(len(texts))], "uid bigint, cells array<struct<k:int,cell:bigint>>")
+    df = frame(list(enumerate(texts)), "uid bigint, text string")
+    return {(r.a, r.b) for r in similar_links(reps, df).collect()}
+
+
+def chain(rng, name, n, step, width=100):
+    """Each text is like the next ones only; in any order."""
+    texts = [" ".join(f"{name}{j}" for j in range(i * step, i * step + width)) for i in range(n)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("few, leaders, most", [(12, 1024, 4096), (0, 4, 4096), (4, 2, 16), (12, 4, 5)])
+def test_what_leaders_leave_out_is_compared(frame, spark, rng, monkeypatch, few, leaders, most):
+    """All texts of a cell that are linked by pairs are linked, in large and in crowded cells."""
+    for name, value in (("FEW", few), ("LEADERS", leaders), ("MOST", most)):
+        monkeypatch.setattr(similar, name, value)
+    texts = chain(rng, "p", 40, 3) + chain(rng, "q", 30, 9) + [" ".join(f"o{i}x{j}" for j in range(50)) for i in range(20)]
+    pairs = pairs_of(texts)
+    links = links_in_one_cell(frame, spark, texts)
+    assert links <= pairs and len(set(groups_of(len(texts), pairs))) == 22
+    assert groups_of(len(texts), links) == groups_of(len(texts), pairs)
+
+
+def test_a_common_line_in_a_crowded_cell_of_the_last_class(frame, spark, rng, monkeypatch):
+    """Similar pairs among many texts that have nothing but a line in common."""
+    monkeypatch.setattr(similar, "LEADERS", 8)
+    monkeypatch.setattr(similar, "MOST", 16)
+    line = "all rights reserved by the owner of this page see terms"
+    texts = []
+    for i in range(60):
+        words = [f"u{i}x{j}" for j in range(rng.randint(30, 60))]
+        texts += [line + " " + " ".join(words), line + " " + " ".join([*words, "end"])]
+    rng.shuffle(texts)
+    links = links_in_one_cell(frame, spark, texts)
+    assert links == pairs_of(texts) and len(links) == 60
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_pairs_of_two_groups(rng, few):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[: 200 - i]) + f" e{i}" for i in range(6)]
+    rows = members(texts)
+    rows.root[:] = [0, 0, 0, 3, 3, 5]
+
+    def got(most):
+        out = list(left_out(rows, 0.8, few, most))
+        return {(i, j) for x, y, _ in out for i, j in zip(x.tolist(), y.tolist())}, [i for *_, more in out for i in more.tolist()]
+
+    every = {(i, j) for j in range(6) for i in range(j) if rows.root[i] != rows.root[j]}
+    assert got(None) == (every, [])
+    some, more = got(1)
+    if few:
+        assert some == every and not more
+    else:
+        assert len(some) == 3 and some < every and more == list(range(6))
+        assert got(6) == (every, [])
+    # Of a cell of two parts only pairs of both come.
+    rows.k[:] = [1, 1, 2, 1, 2, 2]
+    assert got(None)[0] == {(i, j) for i, j in every if rows.k[i] != rows.k[j]}
+
+
+def test_texts_of_one_shingle(frame):
+    texts = ["y " * 5, "y " * 9, "Y " * 30, "y " * 4, "z " * 7, "a b c d e", "a b c d e a b c d e"]
+    got = {r.doc_id for r in deduplicated(frame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0, 3, 4, 5, 6}
+
+
 def test_nulls_repeats_and_clashing_columns(frame):
     names = "doc_id bigint, text string, uid string, row int, cells string"
     long = " ".join(f"w{i}" for i in range(100))
