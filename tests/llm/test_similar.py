@@ -213,6 +213,19 @@ def test_a_common_line_in_a_crowded_cell_of_the_last_class(frame, spark, rng, mo
     assert links == pairs_of(texts) and len(links) == 60
 
 
+def test_near_copies_in_a_crowded_cell_without_a_leader(frame, spark, monkeypatch):
+    """Where other texts take all leaders' places, near copies are still linked by few pairs."""
+    compared, plain = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, *more: compared.append(pairs.count()) or plain(pairs, *more))
+    monkeypatch.setattr(similar, "LEADERS", 8)
+    monkeypatch.setattr(similar, "MOST", 300)
+    line = "all rights reserved by the owner of this page see terms"
+    texts = [line + " " + " ".join(f"u{i}x{j}" for j in range(40)) for i in range(200)]
+    texts += [" ".join(f"s{j}" for j in range(100)) + f" t{i} x{i}" for i in range(200)]
+    assert len(set(groups_of(400, links_in_one_cell(frame, spark, texts)))) == 201
+    assert sum(compared) < 200 * 20
+
+
 @pytest.mark.parametrize("few", [0, 12])
 def test_pairs_of_two_groups(rng, few):
     words = [f"w{i}" for i in range(200)]
@@ -232,9 +245,12 @@ def test_pairs_of_two_groups(rng, few):
     else:
         assert len(some) == 3 and some < every and more == list(range(6))
         assert got(6) == (every, [])
+        # Of each row the nearest before it.
+        assert got(0) == ({(2, 3), (2, 4), (4, 5)}, list(range(6)))
     # Of a cell of two parts only pairs of both come.
     rows.k[:] = [1, 1, 2, 1, 2, 2]
     assert got(None)[0] == {(i, j) for i, j in every if rows.k[i] != rows.k[j]}
+    assert few or got(0) == (set(), list(range(6)))
 
 
 def test_texts_of_one_shingle(frame):
